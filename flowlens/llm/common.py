@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +76,18 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total:
 def row_key(ids: list[Column], text: Column) -> Column:
     """A key of a row's id and text that any scan computes alike; equal rows share it."""
     return F.struct(*[i.alias(f"k{n}") for n, i in enumerate(ids)], F.xxhash64(F.coalesce(text, F.lit(""))).alias("kh"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a context, where they have no installed copy."""
+    sc = spark.sparkContext
+    if getattr(sc, "_flowlens_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp()  # Spark's file server hands it out for as long as the driver runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/flowlens_package.zip", "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(f"{folder}/flowlens_package.zip")
+    sc._flowlens_shipped = True
