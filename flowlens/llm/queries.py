@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, simhash, tokens, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op5_simhash": simhash.op5_simhash,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_token_ids": tokens.op9_token_ids,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op4_url_filter": url_filter.OP4_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
 }
