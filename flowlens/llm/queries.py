@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, simhash, tokens, url_filter
+from . import decontaminate, exact_dedup, quality, simhash, tokens, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_quality": quality.op3_quality,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_simhash": simhash.op5_simhash,
     "op8_decontaminate": decontaminate.op8_decontaminate,
