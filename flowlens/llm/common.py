@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -55,6 +56,12 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs, whose results are written, before the next ones need disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fold_ascii(text: Column) -> Column:
     """Null as empty; A-Z lower-cased and nothing else. Pure-ASCII texts take the cheaper lower()."""
     t = F.coalesce(text, F.lit(""))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, pii, quality, simhash, tokens, url_filter
+from . import decontaminate, exact_dedup, pii, quality, repeats, simhash, tokens, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_quality": quality.op3_quality,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_simhash": simhash.op5_simhash,
+    "op6_suffix_dedup": repeats.op6_suffix_dedup,
     "op7_personal_data": pii.op7_personal_data,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_token_ids": tokens.op9_token_ids,
