@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, pii, quality, repeats, simhash, tokens, url_filter
+from . import decontaminate, exact_dedup, pii, quality, repeats, sentencepieces, simhash, tokens, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_personal_data": pii.op7_personal_data,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_token_ids": tokens.op9_token_ids,
+    "op10_sentencepiece": sentencepieces.op10_sentencepiece,
 }
 
 SQL = {
