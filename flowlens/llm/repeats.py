@@ -16,7 +16,7 @@ from .arrow import pieces, raw
 from .common import attach, free, new_path, remove, ship, stage
 from .suffixes import repeated_windows
 
-#: Contexts of one anchor that are sorted in one task; the windows of a larger group are counted by their hashes.
+#: Contexts of one anchor that are sorted in one task; larger groups are dealt out to blocks of about this many.
 GROUP = 2_048
 #: Bytes of contexts in one suffix array.
 SHARD_BYTES = 1 << 20
@@ -54,7 +54,7 @@ def find_anchors(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _contexts(wanted: DataFrame, width: int) -> DataFrame:
-    """(h, c, m, big, bytes) for rows (text, list of h, c, m, big, at, n)."""
+    """(h, c, m, contexts, bytes) for rows (text, list of h, c, m, contexts, at, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", PIECE):
@@ -63,9 +63,9 @@ def _contexts(wanted: DataFrame, width: int) -> DataFrame:
             at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy()
             body = raw(piece, "text")
             cut = [body[k][a : a + w] for k, a, w in zip(np.repeat(np.arange(len(body)), counts).tolist(), at.tolist(), (n + width - 1).tolist())]
-            yield pa.RecordBatch.from_arrays([*(flat.field(x) for x in ("h", "c", "m", "big")), pa.array(cut, pa.binary())], ["h", "c", "m", "big", "bytes"])
+            yield pa.RecordBatch.from_arrays([*(flat.field(x) for x in ("h", "c", "m", "contexts")), pa.array(cut, pa.binary())], ["h", "c", "m", "contexts", "bytes"])
 
-    return wanted.mapInArrow(run, "h long, c long, m long, big boolean, bytes binary")
+    return wanted.mapInArrow(run, "h long, c long, m long, contexts long, bytes binary")
 
 
 def _ranges(flags: np.ndarray) -> list[dict[str, int]]:
@@ -83,49 +83,75 @@ def _result(h: list[int], c: list[int], flags: list[np.ndarray]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([h[k] for k in keep], pa.int64()), pa.array([c[k] for k in keep], pa.int64()), pa.array([ranges[k] for k in keep], _RANGE)], ["h", "c", "ranges"])
 
 
-def _sorted_shards(contexts: DataFrame, width: int) -> DataFrame:
-    """Repeated windows of contexts whose partitions hold whole anchors, in order of h and c: one suffix array for some anchors at a time."""
+def _shards(contexts: DataFrame, width: int) -> DataFrame:
+    """(h, c, ranges): the repeated windows of contexts whose anchors lie whole in a partition, in order of h and c.
+
+    One suffix array takes some anchors at a time; a repeated row's second context is passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h: list[int] = []
-        c: list[int] = []
-        m: list[int] = []
-        b: list[bytes] = []
-        size = 0
-        for batch in batches:
-            for x, y, z, s in zip(batch.column("h").to_pylist(), batch.column("c").to_pylist(), batch.column("m").to_pylist(), batch.column("bytes").to_pylist()):
-                if size > SHARD_BYTES and x != h[-1]:
-                    yield _result(h, c, repeated_windows(b, m, width))
-                    h, c, m, b, size = [], [], [], [], 0
-                if h and x == h[-1] and y == c[-1]:
-                    continue  # of a repeated row
-                h.append(x), c.append(y), m.append(z), b.append(s)
-                size += len(s)
-        if b:
-            yield _result(h, c, repeated_windows(b, m, width))
+        for h, c, _, flags in _sorted(batches, width):
+            yield _result(h, c, flags)
 
     return contexts.mapInArrow(run, _RESULT)
 
 
-def _counted_windows(contexts: DataFrame, width: int) -> DataFrame:
-    """The same for anchors with too many contexts for a task: every window's 128-bit hash is counted, combined before the shuffle."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "bytes", 256 << 10):
-            body = piece.column("bytes").to_pylist()
-            n = np.array([len(s) - width + 1 for s in body])
-            rows = np.repeat(np.arange(len(body)), n)
-            w = [xxhash.xxh3_128_digest(s[k : k + width]) for s, z in zip(body, n) for k in range(z)]
-            spot = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([*(piece.column(x).take(take) for x in ("h", "c", "m")), pa.array(w, pa.binary()), pa.array(spot.astype(np.int32))], ["h", "c", "m", "w", "k"])
+def _sorted(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[int], list[int], list[bytes], list[np.ndarray]]]:
+    h: list[int] = []
+    c: list[int] = []
+    m: list[int] = []
+    b: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for x, y, z, s in zip(*(batch.column(k).to_pylist() for k in ("h", "c", "m", "bytes"))):
+            if h and x == h[-1] and y == c[-1]:
+                continue
+            if size > SHARD_BYTES and x != h[-1]:
+                yield h, c, b, repeated_windows(b, m, width)
+                h, c, m, b, size = [], [], [], [], 0
+            h.append(x), c.append(y), m.append(z), b.append(s)
+            size += len(s)
+    if b:
+        yield h, c, b, repeated_windows(b, m, width)
+
+
+def _blocks(contexts: DataFrame, width: int) -> DataFrame:
+    """The same for anchors with too many contexts for a task, which are dealt out to blocks of GROUP.
+
+    A suffix array settles the windows that a block repeats. Of each block, one 128-bit hash of every
+    window is then counted across blocks, combined before the shuffle, and what no block settled but
+    another block has too is joined back.
+    """
 
-    windows = stage(contexts.mapInArrow(split, "h long, c long, m long, w binary, k int"), "repeat-windows")
-    counts = windows.groupBy("w").agg(F.sum("m").alias("times"), F.count(F.lit(1)).alias("rows")).where("times > 1")
-    total = windows.count()
-    hit = attach(windows.drop("m"), counts, ["w"], "rows", total).where("times > 1")
-    # each context has fewer windows than width
-    return hit.groupBy("h", "c").agg(F.collect_set(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("ranges"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "c", "ranges", "k", "w"]
+        for h, c, b, flags in _sorted(batches, width):
+            settled = _result(h, c, flags)
+            n = settled.num_rows
+            yield pa.RecordBatch.from_arrays([*settled.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            seen: set[bytes] = set()
+            rows: list[tuple[int | None, int | None, int | None, bytes]] = []
+            for x, y, s, f in zip(h, c, b, flags):
+                for k, done in enumerate(f.tolist()):
+                    w = xxhash.xxh3_128_digest(s[k : k + width])
+                    if not done:
+                        rows.append((x, y, k, w))
+                    elif w not in seen:
+                        seen.add(w)
+                        rows.append((None, None, None, w))
+            for at in range(0, len(rows), 50_000):
+                x, y, k, w = zip(*rows[at : at + 50_000])
+                arrays = [pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(len(w), _RANGE), pa.array(k, pa.int32()), pa.array(w, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    salt = F.pmod(F.xxhash64("c"), F.ceil(F.col("contexts") / GROUP))
+    dealt = contexts.withColumn("salt", salt).repartition("h", "salt").sortWithinPartitions("h", "salt", "c").select("h", "c", "m", "bytes")
+    out = stage(dealt.mapInArrow(run, _RESULT + ", k int, w binary"), "repeat-blocks")
+    windows = out.where("w IS NOT NULL").select("h", "c", "k", "w")
+    several = windows.groupBy("w").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("w")
+    more = windows.where("k IS NOT NULL").join(several, "w", "left_semi")
+    ranges = F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b")))  # each context has fewer windows than width
+    return out.where("w IS NULL").select("h", "c", "ranges").unionByName(more.groupBy("h", "c").agg(ranges.alias("ranges")))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 200, text_out: bool = False) -> DataFrame:
@@ -139,7 +165,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     counted by anchor and context, combined before the shuffle: anchors that occur once are done, as are
     those whose occurrences all have one context, which is then repeated as a whole. Of the rest one copy of each
     context goes to its anchor's shard, where a two-stage suffix sort puts equal windows side by side. Anchors
-    with more than GROUP contexts have their windows counted by hash instead, which no group bounds.
+    with more than GROUP contexts are sorted in blocks, and what only blocks together repeat is found by hash.
 
     Null texts are empty; texts shorter than width lose nothing; repeated rows are copies of each other; null
     ids are ids like any other. An empty table gives no rows; other columns are not read.
@@ -162,18 +188,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     free(spark)
 
     whole = kept.where("contexts = 1").select("h", "c", "m", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("ranges"))
-    many = kept.where("contexts > 1").select("id", "th", F.struct("h", "c", "m", (F.col("contexts") > GROUP).alias("big"), "at", "n").alias("x"))
+    many = kept.where("contexts > 1").select("id", "th", F.struct("h", "c", "m", "contexts", "at", "n").alias("x"))
     per_text = many.groupBy("id", "th").agg(F.collect_list("x").alias("list"))  # bounded by the text's length
     same = rows["id"].eqNullSafe(per_text["id"]) & (rows["th"] == per_text["th"])
     contexts = _contexts(rows.join(per_text, same).select("text", "list"), width)
     over = not kept.where(F.col("contexts") > GROUP).isEmpty()
     if over:
         contexts = stage(contexts, "repeat-contexts")
-    ordered = contexts.where("NOT big").repartition("h").sortWithinPartitions("h", "c")
-    found = stage(_sorted_shards(ordered, width), "repeat-sorted")
+    small = contexts.where(F.col("contexts") <= GROUP).select("h", "c", "m", "bytes")
+    found = stage(_shards(small.repartition("h").sortWithinPartitions("h", "c"), width), "repeat-sorted")
     if over:
-        big = contexts.where("big").dropDuplicates(["h", "c"])
-        found = found.unionByName(stage(_counted_windows(big, width), "repeat-counted"))
+        found = found.unionByName(stage(_blocks(contexts.where(F.col("contexts") > GROUP), width), "repeat-joined"))
     free(spark)
     found = found.join(kept.select("h", "c", "m"), ["h", "c"])
     marks = attach(anchors.select("id", "th", "h", "c", "at"), whole.unionByName(found), ["h", "c"], "m", total).where("ranges IS NOT NULL")
