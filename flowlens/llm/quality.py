@@ -91,6 +91,13 @@ def design(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, waves: np.ndarray
     return np.hstack([np.cos(z @ waves + phase) * np.sqrt(2 / waves.shape[1]), z * 0.1, np.ones((len(z), 1))])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Small batches: a row's design is ten times its statistics."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS)).astype(np.float64)
 
@@ -133,7 +140,7 @@ def fit_quality(labelled: DataFrame, *, train_rows: int = 200_000, waves: int =
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.zeros((2, d + 1))
-        for b in batches:
+        for b in slices(batches):
             x = matrix(b)
             s += np.stack([np.append(x.sum(0), len(x)), np.append((x * x).sum(0), 0)])
         yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()])], ["s"])
@@ -148,7 +155,7 @@ def fit_quality(labelled: DataFrame, *, train_rows: int = 200_000, waves: int =
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = waves + d + 1
         a = np.zeros((size + 1, size))
-        for b in batches:
+        for b in slices(batches):
             z = design(matrix(b), mean, scale, w, phase)
             y = b.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
             a[:size] += z.T @ z
@@ -162,7 +169,7 @@ def fit_quality(labelled: DataFrame, *, train_rows: int = 200_000, waves: int =
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, bins))
-        for b in batches:
+        for b in slices(batches):
             k = np.clip((model.raw_scores(matrix(b)) - low) / step, 0, bins - 1).astype(int)
             y = b.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
             n += np.stack([np.bincount(k, minlength=bins), np.bincount(k, y, minlength=bins)])
@@ -193,8 +200,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, train_on: Column, id_c
     model = fit_quality(x.where(train_on).join(y, F.col("id") == F.col("lid")).select("id", "x", "y"), **fit)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.scores(matrix(b)) if b.num_rows else [], pa.float64())], ["id", "score"])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.scores(matrix(b)))], ["id", "score"])
 
     scored = x.mapInArrow(score, f"id {x.schema['id'].dataType.simpleString()}, score double")
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= least).cast("int").alias("predicted"))

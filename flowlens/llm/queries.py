@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, pii, quality, repeats, sentencepieces, simhash, tokens, url_filter
+from . import decontaminate, exact_dedup, licenses, pii, quality, repeats, sentencepieces, simhash, tokens, url_filter
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_quality": quality.op3_quality,
     "op4_url_filter": url_filter.op4_url_filter,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_license_scan": licenses.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
