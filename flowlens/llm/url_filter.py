@@ -17,12 +17,13 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 class Reputation:
     """How labelled outcomes turn into verdicts.
 
-    z: standard deviations between the posterior mean and its bound. most_bad: a host is blocked if the
+    z: standard deviations between the posterior mean and its bound; 4.36 is the one-sided Chebyshev bound
+    at 5 %, which holds for a beta of any shape, also where a host has few outcomes. most_bad: a host is blocked if the
     lower bound of its share of bad pages is above this. weakest, strongest: limits of a prior's strength
     in pages. double_suffixes: suffixes of two labels; all others are the last label.
     """
 
-    z: float = 1.645
+    z: float = 4.36
     most_bad: float = 0.2
     weakest: float = 1.0
     strongest: float = 1000.0
@@ -71,7 +72,8 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, *, rules: tuple[tuple[str,
 
     outcomes: (id, bad), bad 0 or 1; null ids or outcomes are left out, repeated ones count each. A host's
     share of bad pages has a beta posterior, whose prior is centred on its registered domain's share,
-    that one's on its suffix's, and that one's on all pages'; each level's strength is estimated by moments.
+    that one's on its suffix's, and that one's on all pages'; each level's strength is estimated by moments
+    from how far groups lie from the level above, and no outcome counts at two levels of one host.
     Hosts without outcomes rest on the levels above; without any outcome nothing is blocked but by rules.
 
     A null url or one without :// has empty host and path, and is a host of its own. The listed rules
@@ -92,13 +94,18 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, *, rules: tuple[tuple[str,
     level = lambda *by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes, domains = level("all", "suffix"), level("suffix", "domain")
     ks, kd, kh = _strength(suffixes, "all", p0, how), _strength(domains, "suffix", p0, how), _strength(hosts, "domain", p0, how)
-    shrunk = lambda k, above: (F.col("bad") + F.lit(k) * above) / (F.col("n") + F.lit(k))
-    s = suffixes.select("suffix", shrunk(ks, F.lit(p0)).alias("ps"))
-    d = domains.join(s, "suffix").select("domain", "suffix", shrunk(kd, F.col("ps")).alias("pd"))
-    a = F.col("bad") + F.lit(kh) * F.col("pd")
-    b = F.col("n") - F.col("bad") + F.lit(kh) * (1 - F.col("pd"))
+    # each level's centre leaves out what the level below has seen itself, and its own uncertainty weakens it
+    s = suffixes.select("suffix", F.col("n").alias("ns"), F.col("bad").alias("bs"))
+    d = domains.join(s, "suffix")
+    n_up = F.col("ns") - F.col("n") + F.lit(ks)
+    d = d.select("domain", "suffix", F.col("n").alias("nd"), F.col("bad").alias("bd"), ((F.col("bs") - F.col("bad") + F.lit(ks * p0)) / n_up).alias("ps"), (1 / (1 / F.lit(kd) + 1 / n_up)).alias("kd"))
+    h = hosts.join(d, ["suffix", "domain"])
+    n_up = F.col("nd") - F.col("n") + F.col("kd")
+    h = h.withColumn("pd", (F.col("bd") - F.col("bad") + F.col("kd") * F.col("ps")) / n_up).withColumn("kh", 1 / (1 / F.lit(kh) + 1 / n_up))
+    a = F.col("bad") + F.col("kh") * F.col("pd")
+    b = F.col("n") - F.col("bad") + F.col("kh") * (1 - F.col("pd"))
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    known = hosts.join(d, ["suffix", "domain"]).select("host", "rows", (a / (a + b)).alias("bad_mean"), F.greatest(F.lit(0.0), a / (a + b) - F.lit(how.z) * sd).alias("bad_bound"))
+    known = h.select("host", "rows", (a / (a + b)).alias("bad_mean"), F.greatest(F.lit(0.0), a / (a + b) - F.lit(how.z) * sd).alias("bad_bound"))
 
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged_by = F.coalesce(verdict, F.when(F.col("bad_bound") > how.most_bad, F.lit("block")).otherwise(F.lit("allow")))
@@ -139,10 +146,12 @@ m AS (
 ), r AS (SELECT lv, CASE WHEN p0 > 0 AND p0 < 1 AND spread - free > 0 THEN (between_ / (p0 * (1 - p0)) - free) / (spread - free) ELSE 0 END AS rho FROM m, g),
 k AS (SELECT lv, CASE WHEN rho <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0, greatest(1.0, 1 / rho - 1)) END AS k FROM r),
 kk AS (SELECT coalesce(max(k) FILTER (lv = 's'), 1000) AS ks, coalesce(max(k) FILTER (lv = 'd'), 1000) AS kd, coalesce(max(k) FILTER (lv = 'h'), 1000) AS kh FROM k),
-ps AS (SELECT suffix, (bad + ks * p0) / (n + ks) AS ps FROM s, g, kk),
-pd AS (SELECT suffix, domain, (bad + kd * ps) / (n + kd) AS pd FROM d JOIN ps USING (suffix), kk),
-ab AS (SELECT host, bad + kh * pd AS a, n - bad + kh * (1 - pd) AS b FROM h JOIN pd USING (suffix, domain), kk),
-rep AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.2 AS bad FROM ab),
+pd AS (
+  SELECT d.suffix, domain, d.n AS nd, d.bad AS bd, (s.bad - d.bad + ks * p0) / (s.n - d.n + ks) AS ps, 1 / (1 / kd + 1 / (s.n - d.n + ks)) AS kd2
+  FROM d JOIN s USING (suffix), g, kk
+), ph AS (SELECT host, n, bad, (bd - bad + kd2 * ps) / (nd - n + kd2) AS pd, 1 / (1 / kh + 1 / (nd - n + kd2)) AS kh2 FROM h JOIN pd USING (suffix, domain), kk),
+ab AS (SELECT host, bad + kh2 * pd AS a, n - bad + kh2 * (1 - pd) AS b FROM ph),
+rep AS (SELECT host, a / (a + b) - 4.36 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.2 AS bad FROM ab),
 f AS (
   SELECT *, CASE
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
