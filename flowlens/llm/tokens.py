@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow import pieces, texts
+from .arrow import pieces, raw
 from .common import new_path, ship
+from .unit_encoder import UnitEncoder
 
-#: Words whose ids a worker remembers; a full memory is emptied.
-CACHE_WORDS = 700_000
 #: How token tables are written: dictionary pages for ids, delta encoding for the rising columns,
 #: row groups of 16 MB, and pages of few rows, whose indexes let a reader fetch some documents alone.
 LAYOUT = {
@@ -29,97 +25,7 @@ LAYOUT = {
     "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#seq": "false", "parquet.enable.dictionary#start": "false", "parquet.enable.dictionary#n_tokens": "false",
 }
 
-# a blank between two visible characters always starts a new pre-token, so texts may be cut there
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The character that stands for each byte in byte-level vocabularies."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
-
-
-_LETTERS = _byte_letters()
-
-
-class WordEncoder:
-    """Encodes texts by way of their words, each of which the tokenizer sees once while it is remembered.
-
-    A text is cut at its blanks. A word of letters is a pre-token of its own, so the bare model encodes it; a
-    stop or comma behind it is another. A text with other white space beside a blank, at its ends, or
-    with two blanks together is cut only between visible characters, and those parts go through the whole tokenizer.
-    """
-
-    def __init__(self, vocab: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocab)
-        self.tokenizer.model._resize_cache(0)  # words come once
-        self.bare = Tokenizer(self.tokenizer.model)
-        self.memory: dict[str, bytes | None] = {}
-        self.marks = {c: array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
-
-    def _learn(self, words: set[str]) -> None:
-        memory = self.memory
-        if len(memory) + len(words) > CACHE_WORDS:
-            memory.clear()
-        letters, others, marked = set(), [], []
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                memory[w] = None  # its text is cut in another way
-            elif w.isalpha():
-                letters.add(w)
-            elif w[-1] in self.marks and w[:-1].isalpha():
-                marked.append(w)
-                letters.add(w[:-1])
-            else:
-                others.append(w)
-        new = [w for w in letters if w not in memory]
-        mapped = "\n".join([" " + w for w in new]).encode().decode("latin-1").translate(_LETTERS).split(_LETTERS[10]) if new else []
-        for at in range(0, len(new), 20_000):
-            for w, e in zip(new[at : at + 20_000], self.bare.encode_batch_fast(mapped[at : at + 20_000], add_special_tokens=False)):
-                memory[w] = array("I", e.ids).tobytes()
-        for w in marked:
-            memory[w] = memory[w[:-1]] + self.marks[w[-1]]
-        for at in range(0, len(others), 20_000):
-            part = others[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([" " + w for w in part], add_special_tokens=False)):
-                memory[w] = array("I", e.ids).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        parts = _CUT.split(text)
-        found = self.tokenizer.encode_batch_fast([parts[0], *(" " + p for p in parts[1:])], add_special_tokens=False)
-        return b"".join(array("I", e.ids).tobytes() for e in found)
-
-    def encode(self, docs: list[str], end: bytes) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers, end behind them."""
-        out: list[bytes] = []
-        get = self.memory.get
-        cut = [t.split(" ") for t in docs]
-        found = [list(map(get, c)) for c in cut]
-        new: set[str] = set()
-        for c, f in zip(cut, found):
-            if None in f:
-                new.update([w for w, x in zip(c, f) if x is None])
-        self._learn(new)
-        starts = self.tokenizer.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)  # words without a blank
-        for t, c, f, e in zip(docs, cut, found, starts):
-            if None in f:
-                f = [get(w) if x is None else x for w, x in zip(c, f)]
-            if len(c) == 1:
-                body = array("I", e.ids).tobytes()
-            elif None in f or c[0][-1].isspace():
-                body = self._whole(t)
-            else:
-                f[0] = array("I", e.ids).tobytes()
-                body = b"".join(f)
-            out.append(body + end)
-        return out
-
-
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, UnitEncoder] = {}
 
 
 def write_tokens(docs: DataFrame, path: str, *, vocab: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -133,19 +39,18 @@ def write_tokens(docs: DataFrame, path: str, *, vocab: str, end_id: int, id_col:
     """
     spark = docs.sparkSession
     ship(spark)
-    end = np.array([end_id], "<u4").tobytes()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(vocab) or _encoders.setdefault(vocab, WordEncoder(vocab))
+        encoder = _encoders.get(vocab) or _encoders.setdefault(vocab, UnitEncoder(vocab))
         part, seq = TaskContext.get().partitionId(), 0
         for piece in pieces(batches, "text"):
-            ids = encoder.encode(texts(piece, "text"), end)
-            n, offsets = len(ids), np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
+            body = raw(piece, "text")
+            ids, counts = encoder.encode(b"".join(body), np.array([len(t) for t in body], np.int64), end_id)
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))
+            n = len(body)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), lists], ["doc_id", "part", "seq", "ids"])
             seq += n
 

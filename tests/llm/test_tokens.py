@@ -5,28 +5,35 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from flowlens.llm.tokens import WordEncoder, read_index, read_tokens, write_tokens
+import flowlens.llm.unit_encoder as module
+from flowlens.llm.tokens import read_index, read_tokens, write_tokens
+from flowlens.llm.unit_encoder import UnitEncoder
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def test_words_give_the_ids_of_whole_texts():
+def encoded(encoder, texts):
+    data = [t.encode() for t in texts]
+    ids, counts = encoder.encode(b"".join(data), np.array([len(d) for d in data]), 2)
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+def test_units_give_the_ids_of_whole_texts():
     r = random.Random(5)
-    parts = ["a", "word", "b", "é", "日", ".", ",", "'s", " ", "  ", "\n", " ", "1", "²", "<|endoftext|>", "'", "́", "\t", "ⅷ"]
-    texts = ["", " ", "\n", "don't stop, now.", "1,000. x", "x \ny", "x  y"] + ["".join(r.choices(parts, k=r.randint(0, 20))) for _ in range(3000)]
-    plain = Tokenizer.from_file(VOCAB)
-    encoder = WordEncoder(VOCAB)
-    for t, got in zip(texts, encoder.encode(texts, b"")):
-        assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    parts = ["a", "word", "b", "é", "日", ".", ",", "'s", " ", "  ", "\n", "\u00a0", "\u3000", "\u2009", "\x85", "\x1f", "1", "²", "<|endoftext|>", "'", "\u0301", "\t", "ⅷ", "“", "averylongwordthatisnotremembered"]
+    texts = ["", " ", "\n", "don't stop, now.", "1,000. x", "x \ny", "x  y", "é a"] + ["".join(r.choices(parts, k=r.randint(0, 20))) for _ in range(4000)]
+    plain, encoder = Tokenizer.from_file(VOCAB), UnitEncoder(VOCAB)
+    for at in range(0, len(texts), 500):
+        for t, got in zip(texts[at : at + 500], encoded(encoder, texts[at : at + 500])):
+            assert got == plain.encode(t, add_special_tokens=False).ids + [2], repr(t)
+    assert encoded(encoder, ["", "", ""]) == [[2], [2], [2]]
 
 
 def test_small_memory(monkeypatch):
-    import flowlens.llm.tokens as module
-
-    monkeypatch.setattr(module, "CACHE_WORDS", 5)
-    encoder, plain = WordEncoder(VOCAB), Tokenizer.from_file(VOCAB)
+    monkeypatch.setattr(module, "MEMORY", 5)
+    encoder, plain = UnitEncoder(VOCAB), Tokenizer.from_file(VOCAB)
     for t in ["a b c d e f g", "h i j a b", "a b, c."] * 2:
-        assert np.frombuffer(encoder.encode([t], b"")[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+        assert encoded(encoder, [t]) == [plain.encode(t, add_special_tokens=False).ids + [2]]
 
 
 def test_files(spark, tmp_path):
