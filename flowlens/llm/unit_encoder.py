@@ -72,7 +72,7 @@ class UnitEncoder:
     def _forget(self) -> None:
         self.count, self.filled = 0, 0
         self.slots = np.full(1 << 16, -1, np.int32)
-        self.keys = np.empty((4, 1 << 15), np.uint64)
+        self.keys = np.empty((1 << 15, 4), np.uint64)  # a row is half a cache line
         self.offset, self.size = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int32)
         self.flat = np.empty(1 << 17, np.uint32)
 
@@ -80,7 +80,7 @@ class UnitEncoder:
 
     @staticmethod
     def _hash(keys: np.ndarray) -> np.ndarray:
-        h = keys[0] * _M[0] ^ keys[1] * _M[1] ^ keys[2] * _M[2] ^ keys[3] * _M[3]
+        h = keys[:, 0] * _M[0] ^ keys[:, 1] * _M[1] ^ keys[:, 2] * _M[2] ^ keys[:, 3] * _M[3]
         h ^= h >> np.uint64(32)
         h *= _M[0]
         return (h >> np.uint64(20)).astype(np.int64)
@@ -94,7 +94,7 @@ class UnitEncoder:
             entry = self.slots[at]
             used = entry >= 0
             live, at, entry = live[used], at[used], entry[used]
-            same = (self.keys[0, entry] == keys[0, live]) & (self.keys[1, entry] == keys[1, live]) & (self.keys[2, entry] == keys[2, live]) & (self.keys[3, entry] == keys[3, live])
+            same = (self.keys[entry] == keys[live]).all(1)
             out[live[same]] = entry[same]
             live, at = live[~same], (at[~same] + 1) & mask
         return out
@@ -110,21 +110,21 @@ class UnitEncoder:
 
     def _remember(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Enter distinct new keys with their ids, laid one behind another; their entries."""
-        n = keys.shape[1]
+        n = len(keys)
         while self.count + n > len(self.offset):
-            self.keys = np.concatenate([self.keys, np.empty_like(self.keys)], 1)
+            self.keys = np.concatenate([self.keys, np.empty_like(self.keys)])
             self.offset, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.offset, self.size))
         while self.filled + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         entries = np.arange(self.count, self.count + n, dtype=np.int32)
-        self.keys[:, entries], self.size[entries] = keys, sizes
+        self.keys[entries], self.size[entries] = keys, sizes
         self.offset[entries] = self.filled + np.cumsum(sizes) - sizes
         self.flat[self.filled : self.filled + len(ids)] = ids
         self.count, self.filled = self.count + n, self.filled + len(ids)
         if 2 * self.count > len(self.slots):
             self.slots = np.full(4 * len(self.slots), -1, np.int32)
             every = np.arange(self.count, dtype=np.int32)
-            self._place(every, self._hash(self.keys[:, : self.count]))
+            self._place(every, self._hash(self.keys[: self.count]))
         else:
             self._place(entries, self._hash(keys))
         return entries
@@ -168,24 +168,24 @@ class UnitEncoder:
         words = np.ndarray((len(b) - 7,), "<u8", b, 0, (1,))  # eight bytes from every place on
         short = np.flatnonzero(sizes <= SHORT)
         s, n = starts[short], sizes[short]
-        keys = np.empty((4, len(short)), np.uint64)
+        keys = np.empty((len(short), 4), np.uint64)
         for k in range(3):
-            keys[k] = words[s + 8 * k] & _MASK[np.clip(n - 8 * k, 0, 8)]
-        keys[3] = n
+            keys[:, k] = words[s + 8 * k] & _MASK[np.clip(n - 8 * k, 0, 8)]
+        keys[:, 3] = n
         if self.count + len(short) // 4 > MEMORY:
             self._forget()
         h = self._hash(keys)
         entry = self._find(keys, h)
         new = np.flatnonzero(entry < 0)
         if len(new):
-            order = np.lexsort((keys[3, new], keys[2, new], keys[1, new], keys[0, new]))
-            k = keys[:, new[order]]
+            order = np.argsort(h[new])  # equal keys lie together; were others of their hash between, a key would be entered twice
+            k = keys[new[order]]
             head = np.ones(len(order), bool)
-            head[1:] = (k[:, 1:] != k[:, :-1]).any(0)
+            head[1:] = (k[1:] != k[:-1]).any(1)
             one = new[order[head]]
             units = [data[x : x + y].decode() for x, y in zip(s[one].tolist(), n[one].tolist())]
             ids, counts = self._ids(units)
-            entry[new[order]] = self._remember(keys[:, one], ids, counts)[np.cumsum(head) - 1]
+            entry[new[order]] = self._remember(keys[one], ids, counts)[np.cumsum(head) - 1]
         count, begin = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
         count[short], begin[short] = self.size[entry], self.offset[entry]
         long = np.flatnonzero(sizes > SHORT)
