@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .arrow import pieces, raw
 from .common import new_path, ship
-from .unit_encoder import UnitEncoder
+from .unit_encoder import encoder_for
 
 #: How token tables are written: dictionary pages for ids, delta encoding for the rising columns,
 #: row groups of 16 MB, and pages of few rows, whose indexes let a reader fetch some documents alone.
@@ -25,7 +25,6 @@ LAYOUT = {
     "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#seq": "false", "parquet.enable.dictionary#start": "false", "parquet.enable.dictionary#n_tokens": "false",
 }
 
-_encoders: dict[str, UnitEncoder] = {}
 
 
 def write_tokens(docs: DataFrame, path: str, *, vocab: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -43,7 +42,7 @@ def write_tokens(docs: DataFrame, path: str, *, vocab: str, end_id: int, id_col:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(vocab) or _encoders.setdefault(vocab, UnitEncoder(vocab))
+        encoder = encoder_for(vocab)
         part, seq = TaskContext.get().partitionId(), 0
         for piece in pieces(batches, "text"):
             body = raw(piece, "text")

@@ -67,6 +67,10 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(vocab)
         self.tokenizer.model._resize_cache(0)  # units come once
         self.bare = Tokenizer(self.tokenizer.model)
+        #: How many bytes each id stands for.
+        self.width = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.width[k] = len(token)
         self._forget()
 
     def _forget(self) -> None:
@@ -114,8 +118,7 @@ class UnitEncoder:
         while self.count + n > len(self.offset):
             self.keys = np.concatenate([self.keys, np.empty_like(self.keys)])
             self.offset, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.offset, self.size))
-        while self.filled + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self._room(len(ids))
         entries = np.arange(self.count, self.count + n, dtype=np.int32)
         self.keys[entries], self.size[entries] = keys, sizes
         self.offset[entries] = self.filled + np.cumsum(sizes) - sizes
@@ -129,6 +132,10 @@ class UnitEncoder:
             self._place(entries, self._hash(keys))
         return entries
 
+    def _room(self, n: int) -> None:
+        while self.filled + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+
     # ---- the tokenizer ----
 
     def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +147,10 @@ class UnitEncoder:
         for at in range(0, len(of), 20_000):
             part = of[at : at + 20_000]
             mapped = "\n".join([units[k] for k in part.tolist()]).encode().decode("latin-1").translate(_AS_LETTERS).split(_AS_LETTERS[10])
-            e = self.bare.encode(mapped, is_pretokenized=True, add_special_tokens=False)
-            sizes[part] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
-            parts.append(np.array(e.ids, np.uint32))
+            ids = np.array(self.bare.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(m) for m in mapped])) + 1  # ids and units cover the same bytes
+            sizes[part] = np.diff(ends, prepend=0)
+            parts.append(ids)
         rest = np.flatnonzero(~np.array(plain, bool))
         for at in range(0, len(rest), 20_000):
             part = rest[at : at + 20_000].tolist()
@@ -189,14 +197,14 @@ class UnitEncoder:
         count, begin = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
         count[short], begin[short] = self.size[entry], self.offset[entry]
         long = np.flatnonzero(sizes > SHORT)
-        flat = self.flat
-        if len(long):
+        if len(long):  # their ids lie behind the remembered ones until the next units come
             ids, counts = self._ids([data[x : x + y].decode() for x, y in zip(starts[long].tolist(), sizes[long].tolist())])
             count[long], begin[long] = counts, self.filled + np.cumsum(counts) - counts
-            flat = np.concatenate([self.flat[: self.filled], ids])
+            self._room(len(ids))
+            self.flat[self.filled : self.filled + len(ids)] = ids
         text = np.searchsorted(text_starts, starts, "right") - 1
         per_text = np.bincount(text, count, len(lengths)).astype(np.int64)
-        body = flat[_spread(begin, count)]
+        body = self.flat[_spread(begin, count)]
         totals = per_text + 1
         out = np.full(int(totals.sum()), end, np.uint32)
         keep = np.ones(len(out), bool)
@@ -209,3 +217,13 @@ def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The places begin, begin + 1, ... of every run of count places."""
     ends = np.cumsum(count)
     return np.repeat(begin - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+_encoders: dict[str, UnitEncoder] = {}
+
+
+def encoder_for(vocab: str) -> UnitEncoder:
+    """This process's encoder: a worker keeps what it has learnt from one task to the next."""
+    if vocab not in _encoders:
+        _encoders[vocab] = UnitEncoder(vocab)
+    return _encoders[vocab]
