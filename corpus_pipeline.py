@@ -1,8 +1,9 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's input.
 
 Every stage works on all that the one before kept. The first four return the columns of documents; the
-last returns the encoded documents. Null or repeated ids, null texts and empty tables pass through each
-stage as its operator defines.
+last returns the encoded documents. Null texts, null ids and empty tables pass through each stage as its
+operator defines. Decisions are by id: where several texts share an id, they stay if one of them does;
+of rows that repeat id and text, exact dedup keeps one.
 """
 
 from __future__ import annotations
@@ -24,6 +25,15 @@ def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """docs with one row of each that repeat id and text; texts are only compared where ids repeat."""
+    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    if repeated.isEmpty():
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    return docs.join(repeated, same, "left_anti").unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality classifier predicts as label 1; held-out rows are never learnt from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
@@ -32,7 +42,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of documents that are equal but for the case of A-Z, the one with the smallest id."""
-    return _keep(docs, exact_dedup(docs).where("kept"))
+    return _keep(_once(docs), exact_dedup(docs).where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

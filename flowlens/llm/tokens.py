@@ -26,7 +26,6 @@ LAYOUT = {
 }
 
 
-
 def write_tokens(docs: DataFrame, path: str, *, vocab: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write path/data: (doc_id, part, seq, ids) in ascending id order over files, parts and rows, and path/index.
 

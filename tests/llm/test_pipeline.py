@@ -71,6 +71,16 @@ def test_empty_documents(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_repeated_rows_and_nulls(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(30)
+    more = spark.createDataFrame([(900, "some lone text", "en", None, 3), (900, "some lone text", "en", None, 3), (901, None, None, None, None), (902, "", None, None, None), (None, "text without id", None, None, None), (None, "text without id", None, None, None)], docs.schema)
+    both = docs.unionByName(more)
+    kept = corpus_pipeline.exact(spark, both, folder).collect()
+    assert sorted(str(r.doc_id) for r in kept if r.doc_id is None or r.doc_id >= 900) == ["900", "901", "None"]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, both, folder).count() <= both.count()
+
+
 def test_every_operator_is_registered():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
     assert set(SQL) <= set(QUERIES)
