@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .windows import induced, static_windows
+
 _STRATEGIES = ("last", "uniform")
 
 
@@ -48,6 +50,19 @@ def causal_nodes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, fanout
     return out
 
 
+def causal_nodes_in_windows(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, window_us: int, lookback_us: int, fanout: Sequence[int], strategy: str = "last", seed: int = 0) -> DataFrame:
+    """causal_nodes inside disjoint outer windows: window_id added, seeds are the targets of each window among seeds, and context
+    lies within the window and its lookback."""
+    tagged = static_windows(nodes, window_us=window_us, lookback_us=lookback_us)
+    keyed = lambda c: F.struct("window_id", F.col(c).alias("id"))  # noqa: E731  a node counts once for each window
+    own = tagged.select(keyed("transaction_id").alias("transaction_id"), "t_us")
+    both = induced(tagged, edges, ["window_id"])
+    links = both.select(keyed("source_transaction_id").alias("source_transaction_id"), keyed("target_transaction_id").alias("target_transaction_id"))
+    targets = tagged.where("is_target").join(seeds.select("transaction_id"), "transaction_id", "left_semi").select(keyed("transaction_id").alias("transaction_id"))
+    out = causal_nodes(own, links, targets, fanout=fanout, strategy=strategy, seed=seed)
+    return out.select("seed_id.window_id", F.col("seed_id.id").alias("seed_id"), "hop", F.col("frontier_id.id").alias("frontier_id"), F.col("context_id.id").alias("context_id"), "context_us")
+
+
 def causal_events(events: DataFrame, targets: DataFrame, *, fanout: Sequence[int], strategy: str = "last", seed: int = 0) -> DataFrame:
     """Context of target events in an account graph: target_id, hop, account, event_id, event_us.
 

@@ -422,6 +422,12 @@ def causal_neighbors_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.causal_nodes(t, graphs.successor_edges(t, DAY), _error_ids(t, "transaction_id"), fanout=[3, 2])
 
 
+@query
+def causal_neighbors_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = event_transfers(spark, sf_dir)
+    return sampling.causal_nodes_in_windows(t, graphs.successor_edges(t, DAY), _error_ids(t, "transaction_id"), window_us=2 * DAY, lookback_us=12 * HOUR, fanout=[3])
+
+
 @query
 def causal_event_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)

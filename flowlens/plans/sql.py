@@ -215,6 +215,9 @@ FROM (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey
     "active_edges": with_(EVENTS, "b AS (SELECT max(t_us) AS hi, max(seq) AS m FROM ev)") + f"SELECT transaction_id AS edge_id FROM ev, b WHERE t_us > hi - {DAY} AND seq > m - 250",
     "causal_neighbors_1hop": with_(EVENTS, successors("e", "ev", DAY)).rstrip() + _HOPS.format(5) + "SELECT seed_id, 1 AS hop, frontier_id, context_id, context_us FROM c1",
     "causal_neighbors_2hop": with_(EVENTS, successors("e", "ev", DAY)).rstrip() + _HOPS.format(3) + _HOP2.format(2) + "SELECT seed_id, 1 AS hop, frontier_id, context_id, context_us FROM c1 UNION ALL SELECT seed_id, 2, frontier_id, context_id, context_us FROM c2",
+    "causal_neighbors_windowed": with_(
+        EVENTS, successors("e", "ev", DAY), "b AS (SELECT min(t_us) AS lo FROM ev)", f"sd AS (SELECT (t_us - lo) // {2 * DAY} AS window_id, lo + (t_us - lo) // {2 * DAY} * {2 * DAY} - {12 * HOUR} AS floor, transaction_id AS seed_id, t_us AS seed_us FROM ev, b WHERE label = 1)",
+    ) + "SELECT window_id, seed_id, 1 AS hop, seed_id AS frontier_id, source_transaction_id AS context_id, c.t_us AS context_us FROM sd JOIN e ON e.target_transaction_id = seed_id JOIN ev c ON c.transaction_id = source_transaction_id WHERE c.t_us < seed_us AND c.t_us >= floor QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY c.t_us DESC, source_transaction_id DESC) <= 3",
     "causal_event_neighbors": with_(EVENTS, event_hops(4), "f2 AS (SELECT DISTINCT target_id, target_us, nxt AS account FROM h1)", "h2 AS (SELECT target_id, account, x.seq AS event_id, x.t_us AS event_us FROM f2 JOIN ev x ON x.target = account AND x.t_us < target_us QUALIFY row_number() OVER (PARTITION BY target_id, account ORDER BY x.t_us DESC, x.seq DESC) <= 2)")
     + "SELECT target_id, 1 AS hop, account, event_id, event_us FROM h1 UNION ALL SELECT target_id, 2, account, event_id, event_us FROM h2",
     "recent_neighbors": with_(EVENTS) + "SELECT * FROM (SELECT account, neighbor, event_id, event_us, row_number() OVER (PARTITION BY account ORDER BY event_us DESC, event_id DESC, neighbor DESC) AS rank FROM (SELECT source AS account, target AS neighbor, seq AS event_id, t_us AS event_us FROM ev UNION ALL SELECT target, source, seq, t_us FROM ev)) WHERE rank <= 5",
