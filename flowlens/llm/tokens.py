@@ -17,6 +17,8 @@ from .arrow import pieces, raw
 from .common import new_path, ship
 from .unit_encoder import encoder_for
 
+#: Bytes of texts encoded at once; what numpy holds meanwhile is some thirty times as much.
+PIECE = 2 << 20
 #: How token tables are written: dictionary pages for ids, delta encoding for the rising columns,
 #: row groups of 16 MB, and pages of few rows, whose indexes let a reader fetch some documents alone.
 LAYOUT = {
@@ -43,7 +45,7 @@ def write_tokens(docs: DataFrame, path: str, *, vocab: str, end_id: int, id_col:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(vocab)
         part, seq = TaskContext.get().partitionId(), 0
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             body = raw(piece, "text")
             ids, counts = encoder.encode(b"".join(body), np.array([len(t) for t in body], np.int64), end_id)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

@@ -14,7 +14,7 @@ import numpy as np
 #: Units of up to this many bytes are remembered, by their bytes themselves.
 SHORT = 24
 #: How many are remembered; a full memory is emptied.
-MEMORY = 2_000_000
+MEMORY = 1_000_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
