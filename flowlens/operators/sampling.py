@@ -92,7 +92,7 @@ def recent_neighbors(events: DataFrame, *, size: int, until: Column | None = Non
     out = rows.select(F.col("source").alias("account"), F.col("target").alias("neighbor"), "event_id", F.col("t_us").alias("event_us"))
     both = out.unionByName(rows.select(F.col("target").alias("account"), F.col("source").alias("neighbor"), "event_id", F.col("t_us").alias("event_us")))
     w = W.partitionBy("account").orderBy(F.desc("event_us"), F.desc("event_id"), F.desc("neighbor"))
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size)
+    return both.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= size)
 
 
 def timestamp_groups(history: DataFrame | None, targets: DataFrame, *, validate: bool = True) -> DataFrame:

@@ -44,7 +44,7 @@ def numbered(rows: DataFrame, *, name: str = "snapshot_index", targets_only: boo
     """rows of windows that have a target, with the windows numbered from 1 in order of time."""
     held = rows.where("is_target") if targets_only else rows
     starts = held.select("window_start").distinct()
-    numbers = starts.withColumn(name, F.row_number().over(W.orderBy("window_start")))  # a row for each window
+    numbers = starts.withColumn(name, F.row_number().over(W.orderBy("window_start")).cast("long"))  # a row for each window
     return rows.join(numbers, "window_start")
 
 

@@ -151,7 +151,7 @@ ak AS (SELECT k, sum(label) AS tp, sum(label) / k AS p, sum(label) / (SELECT sum
 atk AS (SELECT k, CAST(tp AS BIGINT) AS tp, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(p / (SELECT avg(label) FROM sc), 6) AS lift FROM ak)"""
 
 
-_FLOW = """f AS (SELECT account, sum(o) AS n_out, sum(1 - o) AS n_in, round(coalesce(sum(amount) FILTER (o = 1), 0), 6) AS amount_out, round(coalesce(sum(amount) FILTER (o = 0), 0), 6) AS amount_in
+_FLOW = """f AS (SELECT account, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(1 - o) AS BIGINT) AS n_in, round(coalesce(sum(amount) FILTER (o = 1), 0), 6) AS amount_out, round(coalesce(sum(amount) FILTER (o = 0), 0), 6) AS amount_in
   FROM (SELECT source AS account, 1 AS o, amount FROM ev UNION ALL SELECT target, 0, amount FROM ev) GROUP BY account)"""
 _CUTS = "ct AS (SELECT lo + (hi - 1 - lo) * 3 // 5 AS a, lo + (hi - 1 - lo) * 4 // 5 AS z FROM (SELECT min(t_us) AS lo, max(t_us) + 1 AS hi FROM ev))"
 _INDEX = "ix AS (SELECT node_id, row_number() OVER (ORDER BY CAST(node_id AS BIGINT)) - 1 AS k FROM (SELECT source AS node_id FROM ev UNION SELECT target FROM ev))"
@@ -224,5 +224,5 @@ FROM (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey
     "timestamp_groups": with_(ITEMS) + "SELECT row_number() OVER (ORDER BY t_us) - 1 AS group_id, t_us, count(*) AS n, true AS pure FROM it GROUP BY t_us",
     "mean_messages": with_(EVENTS, event_hops(4)) + "SELECT target_id, round(avg(ln(1 + abs(amount))), 6) AS mean_message FROM h1 JOIN ev ON ev.seq = event_id GROUP BY target_id",
     "endpoint_means": with_(ITEMS) + "SELECT t_us, account, round(avg(amount), 6) AS mean_value, count(*) AS n FROM (SELECT t_us, source AS account, amount FROM it UNION ALL SELECT t_us, target, amount FROM it) GROUP BY ALL",
-    "streaming_flows": with_(EVENTS) + "SELECT t_us - t_us % 86400000000 AS window_us, account, sum(o) AS n_out, sum(1 - o) AS n_in, round(coalesce(sum(amount) FILTER (o = 1), 0), 6) AS amount_out, round(coalesce(sum(amount) FILTER (o = 0), 0), 6) AS amount_in FROM (SELECT t_us, source AS account, 1 AS o, amount FROM ev UNION ALL SELECT t_us, target, 0, amount FROM ev) GROUP BY ALL",
+    "streaming_flows": with_(EVENTS) + "SELECT t_us - t_us % 86400000000 AS window_us, account, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(1 - o) AS BIGINT) AS n_in, round(coalesce(sum(amount) FILTER (o = 1), 0), 6) AS amount_out, round(coalesce(sum(amount) FILTER (o = 0), 0), 6) AS amount_in FROM (SELECT t_us, source AS account, 1 AS o, amount FROM ev UNION ALL SELECT t_us, target, 0, amount FROM ev) GROUP BY ALL",
 }
