@@ -163,12 +163,14 @@ class GraphFeatures:
             seen = seen.withColumn("size", F.size(F.collect_set("nbr").over(back)))
         ahead = span.rangeBetween(0, max(0, tw - 1))
         at = bucket_of(F.col("size"), pattern.bins)
-        mine = F.col("eb") == F.col("b")
-        own = seen.withColumns({f"{name}_{k}": F.sum(F.when(mine & (at == k), 1).otherwise(0)).over(ahead) for k in range(len(pattern.bins))})
         names = [f"{name}_{k}" for k in range(len(pattern.bins))]
-        own = own.select("b", "v", F.col("eid").alias("edge_id"), *names)
-        found = self.rows.select("b", "seq", "edge_id", F.col(column).alias("v")).join(own, ["b", "v", "edge_id"])
-        return found.select("seq", *names)
+        # rows look ahead from their own time, which a repeated id need not share with its edge in the graph
+        asks = self.rows.select("b", "seq", "edge_id", F.col(column).alias("v"), F.col("t").alias("et"))
+        asks = asks.join(seen.select("b", "v", F.col("eid").alias("edge_id")), ["b", "v", "edge_id"], "left_semi")
+        counted = seen.where("eb = b").select("b", "v", "et", at.alias("at"), F.lit(None).cast("long").alias("seq"))
+        both = counted.unionByName(asks.select("b", "v", "et", F.lit(-1).alias("at"), "seq"))
+        sums = both.withColumns({n: F.sum(F.when(F.col("at") == k, 1).otherwise(0)).over(ahead) for k, n in enumerate(names)})
+        return sums.where("seq IS NOT NULL").select("seq", *names)
 
     # ---- scatter-gather ----
 
