@@ -273,8 +273,8 @@ def find_spans(docs: list[str], decoder: Decoder) -> list[tuple[list[Span], list
     base = [base_spans(t) for t in docs]
     where = [(k, w) for k, (t, b) in enumerate(zip(docs, base)) for w in _windows(t, b)]
     added: dict[int, list[Span]] = defaultdict(list)
-    for at in range(0, len(where), 5_000):
-        part = where[at : at + 5_000]
+    for at in range(0, len(where), 1_000):
+        part = where[at : at + 1_000]
         for (k, words), path in zip(part, decoder.labels([[docs[k][a:b] for a, b in w] for k, w in part])):
             j = 0
             while j < len(path):
