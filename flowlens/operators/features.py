@@ -94,9 +94,14 @@ class FeatureConfig:
 class GraphFeatures:
     """Features of rows (edge_id, source, target, t, seq, value columns), given a history if there is one."""
 
-    def __init__(self, config: FeatureConfig, rows: DataFrame, *, batch_size: int | None = None, history: DataFrame | None = None) -> None:
-        """batch_size: rows of seq 0, 1, ... per batch; None puts all rows into one. history: rows of the same columns inserted before."""
+    def __init__(self, config: FeatureConfig, rows: DataFrame, *, batch_size: int | None = None, history: DataFrame | None = None, rising: bool = False) -> None:
+        """batch_size: rows of seq 0, 1, ... per batch; None puts all rows into one. history: rows of the same columns inserted before.
+
+        rising: times rise strictly. Batches of one row then see what lies behind them in time, so that fans,
+        degrees and statistics are frames over each account's edges instead of joins with every batch.
+        """
         self.config = config
+        self.trailing = rising and batch_size == 1 and config.max_edges == -1 and config.kept > 0
         size = F.lit(0) if batch_size is None else F.floor(F.col("seq") / F.lit(batch_size))
         self.rows = rows.withColumn("b", size.cast("long"))
         graph = self.rows.select("edge_id", "source", "target", "t", "seq", "b", *config.value_columns)
@@ -152,6 +157,8 @@ class GraphFeatures:
         pattern: Pattern = getattr(self.config, name)
         kind, side = name.split("_")
         column, tw = ("target", pattern.window) if side == "in" else ("source", pattern.window)
+        if self.trailing:
+            return self._trailing_histogram(name, kind, column, pattern)
         seen = self._see(self._touched(column), "v", side)
         span = W.partitionBy("b", "v").orderBy("et")
         back = span.rangeBetween(-(tw - 1), 0) if tw > 0 else None
@@ -172,6 +179,21 @@ class GraphFeatures:
         sums = both.withColumns({n: F.sum(F.when(F.col("at") == k, 1).otherwise(0)).over(ahead) for k, n in enumerate(names)})
         return sums.where("seq IS NOT NULL").select("seq", *names)
 
+    def _in_buckets(self, rows: DataFrame, ahead: int) -> DataFrame:
+        """rows (et) with __k, their bucket of the retention and the next ahead ones: a busy account's frames spread over its buckets."""
+        k = F.floor(F.col("et") / max(1, self.config.kept)).cast("long")
+        return rows.withColumn("__k", F.explode(F.array(*(k + n for n in range(ahead + 1)))))
+
+    def _trailing_histogram(self, name: str, kind: str, column: str, pattern: Pattern) -> DataFrame:
+        other = "source" if column == "target" else "target"
+        reach = min(pattern.window, self.config.kept) - 1
+        edges = self._in_buckets(self.edges.select(F.col(column).alias("v"), F.col(other).alias("nbr"), F.col("t").alias("et"), "seq", "b"), 1)
+        span = W.partitionBy("v", "__k").orderBy("et").rangeBetween(-max(0, reach), 0)
+        size = F.lit(0) if reach < 0 else F.count(F.lit(1)).over(span) if kind == "degree" else F.size(F.collect_set("nbr").over(span))
+        sized = edges.withColumn("size", size).where((F.col("b") >= 0) & (F.col("__k") == F.floor(F.col("et") / max(1, self.config.kept))))
+        at = bucket_of(F.col("size"), pattern.bins)
+        return sized.select("seq", *((at == k).cast("long").alias(f"{name}_{k}") for k in range(len(pattern.bins))))
+
     # ---- scatter-gather ----
 
     def scatter_gather(self) -> DataFrame:
@@ -226,19 +248,29 @@ class GraphFeatures:
 
     def statistics(self, end: str, side: str) -> DataFrame:
         """seq and the statistics of the visible edges at the row's end on a side, from t - statistics_window on."""
-        config = self.config
-        ask = self.rows.select("b", "seq", F.col(end).alias("v"), "t")
-        seen = self._see(ask, "v", side).where(F.col("et") >= F.col("t") - F.lit(config.statistics_window))
-        plain = {"fan": F.count_distinct("nbr"), "degree": F.count(F.lit(1)), "ratio": F.count(F.lit(1)) / F.count_distinct("nbr")}
-        out = [plain[s].alias(f"{end}_{side}_{s}") for s in STATISTICS[:3] if s in config.statistics]
+        config, tw = self.config, self.config.statistics_window
+        mine, other = ("source", "target") if side == "out" else ("target", "source")
+        if self.trailing:
+            edges = self._in_buckets(self.edges.select(F.col(mine).alias("v"), F.col(other).alias("nbr"), F.col("t").alias("et"), *config.value_columns), 1)
+            asks = self._in_buckets(self.rows.select(F.col(end).alias("v"), F.col("t").alias("et"), "seq"), 0)
+            span = W.partitionBy("v", "__k").orderBy("et").rangeBetween(-min(tw, config.kept - 1), 0)
+        else:
+            # each account's visible edges once a batch; from the last one back, a frame holds what is not older than a row's bound
+            edges = self._see(self._touched(end), "v", side).select("b", "v", "nbr", "et", *config.value_columns)
+            asks = self.rows.select("b", F.col(end).alias("v"), (F.col("t") - F.lit(tw)).alias("et"), "seq")
+            span = W.partitionBy("b", "v").orderBy(F.desc("et")).rangeBetween(W.unboundedPreceding, 0)
+        both = edges.withColumn("seq", F.lit(None).cast("long")).unionByName(asks, allowMissingColumns=True)
+        fan, degree = F.size(F.collect_set("nbr").over(span)), F.count("nbr").over(span)
+        plain = {"fan": fan.cast("long"), "degree": degree, "ratio": degree / F.nullif(fan, F.lit(0))}
+        out = {f"{end}_{side}_{s}": plain[s] for s in STATISTICS[:3] if s in config.statistics}
         for v in config.value_columns:
             x = F.col(v).cast("double")
             made = {
-                "mean": F.avg(x), "sum": F.sum(x), "min": F.min(x), "max": F.max(x), "median": F.percentile(x, 0.5), "var": F.var_pop(x),
-                "skew": F.coalesce(F.skewness(x), F.lit(0.0)), "kurtosis": F.coalesce(F.kurtosis(x) + 3, F.lit(0.0)),
+                "mean": F.avg(x).over(span), "sum": F.sum(x).over(span), "min": F.min(x).over(span), "max": F.max(x).over(span), "median": F.percentile(x, 0.5).over(span), "var": F.var_pop(x).over(span),
+                "skew": F.coalesce(F.skewness(x).over(span), F.lit(0.0)), "kurtosis": F.coalesce(F.kurtosis(x).over(span) + 3, F.lit(0.0)),
             }
-            out += [made[s].alias(f"{end}_{side}_{s}_{v}") for s in STATISTICS[3:] if s in config.statistics]
-        return seen.groupBy("seq").agg(*out)
+            out |= {f"{end}_{side}_{s}_{v}": made[s] for s in STATISTICS[3:] if s in config.statistics}
+        return both.withColumns(out).where("seq IS NOT NULL").select("seq", *out)
 
     def all(self) -> DataFrame:
         """Every row with all features of the configuration, 0 where a pattern is absent."""
@@ -259,8 +291,8 @@ class GraphFeatures:
         return out.na.fill(0, names).select(*self.rows.drop("b").columns, *names)
 
 
-def graph_features(config: FeatureConfig, rows: DataFrame, *, batch_size: int | None = None, history: DataFrame | None = None) -> DataFrame:
-    return GraphFeatures(config, rows, batch_size=batch_size, history=history).all()
+def graph_features(config: FeatureConfig, rows: DataFrame, *, batch_size: int | None = None, history: DataFrame | None = None, rising: bool = False) -> DataFrame:
+    return GraphFeatures(config, rows, batch_size=batch_size, history=history, rising=rising).all()
 
 
 def causal_features(config: FeatureConfig, rows: DataFrame, *, history: DataFrame | None = None, validate: bool = True) -> DataFrame:
@@ -274,7 +306,7 @@ def causal_features(config: FeatureConfig, rows: DataFrame, *, history: DataFram
             last, first = history.agg(F.max("t")).first()[0], rows.agg(F.min("t")).first()[0]
             if last is not None and first is not None and first <= last:
                 raise ValueError("rows must be later than the history")
-    return graph_features(config, rows, batch_size=1, history=history)
+    return graph_features(config, rows, batch_size=1, history=history, rising=True)
 
 
 def active_edges(config: FeatureConfig, rows: DataFrame) -> DataFrame:
