@@ -52,7 +52,7 @@ def _prepare(df: DataFrame, order_by: Sequence[str] | None, timed: bool, names:
     rows = row_numbered(df, order_by)
     given = quoted(found["transaction_id"]).cast("string") if found["transaction_id"] else F.lit(None).cast("string")
     ends = {f: strip_string(quoted(found[f])) for f in ("source", "target")}
-    rows = repair_ids(rows.withColumns({**ends, "transaction_id": given, **({"timestamp": when} if timed else {})}))
+    rows = repair_ids(rows.withColumns({**ends, "transaction_id": given, **({"timestamp": when} if timed else {})}), like=df.select(given.alias("transaction_id")))
     rows = rows.where((F.length("source") > 0) & (F.length("target") > 0))
     return rows.where("timestamp IS NOT NULL") if timed else rows
 
@@ -169,7 +169,8 @@ def event_stream(df: DataFrame, *, order_by: Sequence[str] | None = None, **name
     from .ordering import with_row_index
 
     rows = _prepare(df, order_by, True, names).withColumn("t_us", time_us(F.col("timestamp")))
-    return EventStream(account_nodes(rows), with_row_index(rows, [F.col("t_us"), F.col(RESERVED)], "seq").drop(RESERVED))
+    like = df.select(time_us(_graph_time(df, names.get("timestamp"))).alias("t_us"))
+    return EventStream(account_nodes(rows), with_row_index(rows, [F.col("t_us"), F.col(RESERVED)], "seq", like=like).drop(RESERVED))
 
 
 def out_of_order(events: DataFrame, time_col: str = "t_us", order_col: str = "seq", strict: bool = False) -> DataFrame:

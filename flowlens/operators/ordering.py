@@ -15,10 +15,13 @@ RANGES = 64
 _BUCKET = "__range"
 
 
-def with_range(df: DataFrame, key: Column, ranges: int = RANGES) -> DataFrame:
-    """df with a column __range that rises with key (numbers or times); null keys are in range 0."""
+def with_range(df: DataFrame, key: Column, ranges: int = RANGES, like: DataFrame | None = None) -> DataFrame:
+    """df with a column __range that rises with key (numbers or times); null keys are in range 0.
+
+    like: rows with about the same keys that cost less to read; the bounds come from them.
+    """
     number = key.cast("double")
-    cuts = df.agg(F.percentile_approx(number, [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []
+    cuts = (df if like is None else like).agg(F.percentile_approx(number, [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []
     cuts = sorted(set(cuts))
     bucket = F.lit(0)
     for k, c in enumerate(cuts, 1):
@@ -26,9 +29,9 @@ def with_range(df: DataFrame, key: Column, ranges: int = RANGES) -> DataFrame:
     return df.withColumn(_BUCKET, bucket)
 
 
-def with_row_index(df: DataFrame, order_by: list[Column], name: str = "row_index", ranges: int = RANGES) -> DataFrame:
+def with_row_index(df: DataFrame, order_by: list[Column], name: str = "row_index", ranges: int = RANGES, like: DataFrame | None = None) -> DataFrame:
     """df with the position of each row from 0 in the order of order_by; the first key is a number or a time, ascending."""
-    dealt = with_range(df, order_by[0], ranges)
+    dealt = with_range(df, order_by[0], ranges, like)
     inside = F.row_number().over(W.partitionBy(_BUCKET).orderBy(*order_by))
     return _offset(dealt, {name: inside - 1}, {name: F.count(F.lit(1))}).drop(_BUCKET)
 

@@ -104,8 +104,9 @@ def logical_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def id_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ordering.with_row_index(item_transfers(spark, sf_dir), [F.col(c) for c in ITEM_ORDER], schema.RESERVED)
-    return schema.repair_ids(rows).select("transaction_id", "source", "target", "t_us", "amount")
+    items = item_transfers(spark, sf_dir)
+    rows = ordering.with_row_index(items, [F.col(c) for c in ITEM_ORDER], schema.RESERVED)
+    return schema.repair_ids(rows, like=items).select("transaction_id", "source", "target", "t_us", "amount")
 
 
 # ---- graphs ----
