@@ -21,5 +21,6 @@ SQL = {
     "op1_license_scan": licenses.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
+    "op6_suffix_dedup": repeats.OP6_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
 }

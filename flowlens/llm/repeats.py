@@ -232,3 +232,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document; strings of 200 bytes."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 400) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+m AS (SELECT doc_id, i FROM w JOIN (SELECT s FROM w GROUP BY s HAVING count(*) > 1) USING (s)),
+x AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true) AS fresh FROM m),
+y AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM x),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM y GROUP BY doc_id, k),
+kept AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS u, a AS v FROM sp UNION ALL
+  SELECT doc_id, max(b), any_value(n) FROM sp JOIN d USING (doc_id) GROUP BY doc_id
+), t AS (SELECT doc_id, string_agg(substr(h, CAST(2 * u + 1 AS BIGINT), CAST(2 * (v - u) AS BIGINT)), '' ORDER BY u) AS k FROM kept JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed FROM sp GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
