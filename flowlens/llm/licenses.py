@@ -1,11 +1,14 @@
-"""License scan: texts, paragraphs and lines against licence templates by the Dice coefficient of their word bigrams."""
+"""License scan: texts, paragraphs, lines and windows of words against licence templates by the Dice coefficient of their word bigrams."""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +53,9 @@ WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(WORDS)
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
+#: Words of a window's reach up to which equal places of one text are searched once.
+REMEMBERED = 512
+
 Bigrams = frozenset[tuple[str, str]]
 
 
@@ -59,8 +65,17 @@ def templates() -> list[tuple[str, str]]:
     return short + list(NOTICES.items())
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the whole licences in the folder license_texts, read by the driver."""
+    return [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
+
+def _fold(text: str) -> str:
+    return text.translate(_FOLD) if not text.isascii() else text.lower()
+
+
 def bigrams(text: str) -> Bigrams:
-    words = _WORD.findall(text.translate(_FOLD) if not text.isascii() else text.lower())
+    words = _WORD.findall(_fold(text))
     return frozenset(zip(words, words[1:]))
 
 
@@ -72,15 +87,19 @@ class Scanner:
         found = sorted((len(b), name, b) for name, b in {(name, bigrams(text)) for name, text in table} if b)
         self.sizes, self.rows = [x[0] for x in found], found
         self.any = frozenset().union(*(x[2] for x in found)) if found else frozenset()
+        self.holders = defaultdict(list)
+        for k, (_, _, b) in enumerate(found):
+            for pair in b:
+                self.holders[pair].append(k)
         self.low, self.high = (self._bounds(self.sizes[0])[0], self._bounds(self.sizes[-1])[1]) if found else (1, 0)
 
     def _bounds(self, n: int) -> tuple[float, float]:
         """Sizes with which n bigrams can reach the coefficient: 2 min(n, m) / (n + m) >= least."""
         return n * self.least / (2 - self.least) - 1e-9, n * (2 - self.least) / self.least + 1e-9
 
-    def match(self, unit: str) -> tuple[float, str] | None:
+    def match(self, unit: str, b: Bigrams | None = None) -> tuple[float, str] | None:
         """(coefficient, licence) of the best template at or above least; of equals the first by name."""
-        b = bigrams(unit)
+        b = bigrams(unit) if b is None else b
         if not self.low <= len(b) <= self.high:
             return None
         shared = len(b & self.any)
@@ -94,21 +113,112 @@ class Scanner:
                 best = dice, name
         return best
 
+    def _places(self, k: int, ids: np.ndarray, before: np.ndarray, after: np.ndarray, number: dict) -> list[tuple[float, int, int, int]]:
+        """(coefficient, score, first, last bigram) of template k's windows in a text, those of highest coefficient first.
+
+        A window's first and last bigram are the template's and stand in it once: any other window has a
+        shorter one at least as close. Of each start the best end counts. Windows that share half of their
+        bigrams or more with better ones are left out.
+        """
+        n, _, template = self.rows[k]
+        low, high = self._bounds(n)
+        mine = np.zeros(len(number), bool)
+        mine[[number[p] for p in template if p in number]] = True
+        hit = mine[ids]
+        reach, found, known = int(2 * high) + 64, [], {}
+        for s in np.flatnonzero(hit).tolist():
+            limit = int(after[s])  # beyond it, its first bigram would stand in the window twice
+            stop = min(limit, s + reach)
+            key = ids[s:stop].tobytes() if reach <= REMEMBERED else None
+            best = known.get(key, ()) if key is not None else ()
+            if best == ():
+                whole = True
+                while True:
+                    new = before[s:stop] < s
+                    size = np.cumsum(new)
+                    if stop == limit or size[-1] > high:
+                        break
+                    whole, stop = False, min(limit, s + 2 * (stop - s))
+                size = size[: np.searchsorted(size, high, "right")]
+                same = np.cumsum(new[: len(size)] & hit[s : s + len(size)])
+                dice = 2 * same / (size + n)
+                e = int(dice.argmax())
+                best = (float(dice[e]), int(3 * same[e] - size[e]) - n, e) if dice[e] >= self.least else None
+                if whole and key is not None:
+                    known[key] = best
+            if best:
+                found.append((*best[:2], s, s + best[2]))
+        return _apart(sorted(found, key=lambda w: (-w[0], w[2], w[3])), np.zeros(len(ids), bool))
+
+    def windows(self, text: str, words: list[str], whole: Bigrams, units: list[tuple[float, str, str]]) -> list[tuple[float, str, str]]:
+        """(coefficient, licence, window) of the runs of words that match, over line and paragraph breaks and within lines.
+
+        A window that reaches the coefficient holds least / (2 - least) of a template's bigrams, so only
+        templates of which the text has as many are looked for. Of windows of several templates that share half
+        of their words or more, the one with the most shared bigrams less differing ones stays. A window is left out
+        too if half of it lies in units that match the same licence, or any as closely.
+        """
+        count = Counter(k for pair in whole & self.any for k in self.holders[pair])
+        near = [k for k, c in count.items() if c >= self._bounds(self.rows[k][0])[0]]
+        if not near:
+            return []
+        number: dict[tuple[str, str], int] = {}
+        ids = np.fromiter((number.setdefault(p, len(number)) for p in zip(words, words[1:])), np.int64, len(words) - 1)
+        order = np.argsort(ids, kind="stable")
+        twin = ids[order[1:]] == ids[order[:-1]]
+        before, after = np.full(len(ids), -1), np.full(len(ids), len(ids))
+        before[order[1:][twin]], after[order[:-1][twin]] = order[:-1][twin], order[1:][twin]
+        found = [(dice, self.rows[k][1], score, s, e) for k in near for dice, score, s, e in self._places(k, ids, before, after, number)]
+        if not found:
+            return []
+        spans = [m.span() for m in _WORD.finditer(_fold(text))]
+        firsts, held = [a for a, _ in spans], []
+        matched = {u: (dice, name) for dice, name, u in units}
+        for parts, gap in (([text], 0), (text.split("\n\n"), 2), (text.split("\n"), 1)):
+            at = 0
+            for u in parts:
+                if u in matched:
+                    held.append((*matched[u], bisect_left(firsts, at), bisect_left(firsts, at + len(u))))
+                at += len(u) + gap
+        # how close the closest unit around each word is, and by licence whether there is one
+        close, same = np.zeros(len(words)), defaultdict(lambda: np.zeros(len(words), bool))
+        for dice, name, a, b in held:
+            close[a:b] = np.maximum(close[a:b], dice)
+            same[name][a:b] = True
+        inside = lambda w: ((close[w[3] : w[4] + 2] >= w[0]) | (same[w[1]][w[3] : w[4] + 2] if w[1] in same else False)).mean() >= 0.5
+        found = sorted((w for w in found if not inside(w)), key=lambda w: (-w[2], -w[0], w[1], w[3], w[4]))
+        return [(w[0], w[1], text[spans[w[3]][0] : spans[w[4] + 1][1]]) for w in sorted(_apart(found, np.zeros(len(ids), bool)), key=lambda w: (w[3], w[4], w[1]))]
+
     def scan(self, text: str) -> list[tuple[float, str, str]]:
-        """(coefficient, licence, unit) of every distinct unit that matches: the text, its paragraphs, its lines."""
+        """(coefficient, licence, unit) of every distinct unit that matches: the text, its paragraphs, its lines; then of the windows."""
+        words = _WORD.findall(_fold(text))
+        whole = frozenset(zip(words, words[1:]))
         units = dict.fromkeys([text, *text.split("\n\n"), *text.split("\n")])
-        return [(*m, u) for u in units if (m := self.match(u))]
+        found = [(*m, u) for u in units if (m := self.match(u, whole if u is text else None))]
+        return found + self.windows(text, words, whole, found)
+
+
+def _apart(windows: list[tuple], taken: np.ndarray) -> list[tuple]:
+    """The windows (..., first, last), best first, without those of which half or more is taken by better ones."""
+    out = []
+    for w in windows:
+        part = taken[w[-2] : w[-1] + 1]
+        if 2 * np.count_nonzero(part) < len(part):
+            part[:] = True
+            out.append(w)
+    return out
 
 
 def license_scan(docs: DataFrame, *, table: list[tuple[str, str]] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, matches (array of licence, dice, unit).
 
     A unit is the whole text, a paragraph (between empty lines) or a line; equal units of a text count once.
-    Units without two words match nothing. The templates are a table of a few hundred short texts in the
-    driver's hands. Null texts are empty; rows may repeat and ids be null; other columns are not read.
+    Runs of words that match and that no such unit accounts for follow, each place for itself: licences across paragraphs
+    or lines, behind other text, or within a line. Units without two words match nothing. The templates are a
+    table of a few hundred texts, whole licences among them, in the driver's hands. Null texts are empty; rows may repeat and ids be null; other columns are not read.
     """
     ship(docs.sparkSession)
-    table = templates() if table is None else table
+    table = templates() + full_texts() if table is None else table
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     item = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("unit", pa.string())]))
 
