@@ -70,13 +70,14 @@ def train(sentences: list[list[list[str]]], labels: list[list[int]], n_labels: i
 
 def viterbi(emissions: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The best labels (batch, length) of sequences of one length, whose emissions are (batch, length, labels)."""
-    score, back = first + emissions[:, 0], []
+    score = first + emissions[:, 0]
+    back = np.empty((emissions.shape[1] - 1, *score.shape), np.int8 if score.shape[1] < 128 else np.int64)
     for j in range(1, emissions.shape[1]):
         all_ = score[:, :, None] + pair
-        back.append(all_.argmax(1))
+        back[j - 1] = all_.argmax(1)
         score = all_.max(1) + emissions[:, j]
     path = [score.argmax(1)]
     rows = np.arange(len(emissions))
-    for b in reversed(back):
+    for b in back[::-1]:
         path.append(b[rows, path[-1]])
     return np.stack(path[::-1], 1)

@@ -82,8 +82,8 @@ def base_spans(text: str) -> list[Span]:
 HINTS = frozenset("at dot tel phone mobile call fax mail email ip host server card visa credit version page date isbn order".split())
 #: Characters of context decoded on either side of a digit, an @ or a spelled-out sign.
 AROUND = 48
-#: Words decoded as one sequence; longer windows are decoded in pieces.
-LONGEST = 64
+#: Words decoded at once, in many windows or one longer one.
+WORDS_AT_ONCE = 16_384
 _TOKEN = re.compile(r"\S+")
 _TRIGGER = re.compile(r"[0-9@]+|[(\[](?:at|dot|AT|DOT)[)\]]")
 _TO_SHAPE = str.maketrans({**{c: "d" for c in "0123456789"}, **{chr(c): "x" for c in range(97, 123)}, **{chr(c): "X" for c in range(65, 91)}})
@@ -207,9 +207,11 @@ class Decoder:
         out: list[np.ndarray] = [np.empty(0, int)] * len(windows)
         for n, members in by_length.items():
             e = np.zeros((len(members), n + 4, len(LABELS)))
-            parts = np.array([[self._scores(token_key(t)) for t in windows[k]] for k in members])
-            for s in range(5):
-                e[:, s : s + n] += parts[:, :, s]
+            step = max(1, WORDS_AT_ONCE // len(members))
+            for at in range(0, n, step):
+                parts = np.array([[self._scores(token_key(t)) for t in windows[k][at : at + step]] for k in members])
+                for s in range(5):
+                    e[:, at + s : at + s + parts.shape[1]] += parts[:, :, s]
             e = e[:, 2:-2]
             for s, end in self.ends.items():
                 if s < 0:
@@ -263,17 +265,30 @@ def _windows(text: str, taken: list[Span]) -> list[list[tuple[int, int]]]:
         words = [(m.start(), m.end()) for m in _TOKEN.finditer(text, low, high)]
         if words and words[-1][1] == high and high < len(text) and (m := _TOKEN.match(text, words[-1][0])):
             words[-1] = m.span()
-        out += [words[j : j + LONGEST] for j in range(0, len(words), LONGEST)]
+        if words:
+            out.append(words)
     return out
 
 
+def _batches(where: list[tuple[int, list[tuple[int, int]]]]) -> Iterator[list[tuple[int, list[tuple[int, int]]]]]:
+    """Whole windows, shortest first, in batches of up to WORDS_AT_ONCE words; a longer window comes alone."""
+    batch, size = [], 0
+    for x in sorted(where, key=lambda x: len(x[1])):
+        if batch and size + len(x[1]) > WORDS_AT_ONCE:
+            yield batch
+            batch, size = [], 0
+        batch.append(x)
+        size += len(x[1])
+    if batch:
+        yield batch
+
+
 def find_spans(docs: list[str], decoder: Decoder) -> list[tuple[list[Span], list[Span]]]:
     """(base, all) spans of each text; code points, end exclusive, by kind and start."""
     base = [base_spans(t) for t in docs]
     where = [(k, w) for k, (t, b) in enumerate(zip(docs, base)) for w in _windows(t, b)]
     added: dict[int, list[Span]] = defaultdict(list)
-    for at in range(0, len(where), 1_000):
-        part = where[at : at + 1_000]
+    for part in _batches(where):
         for (k, words), path in zip(part, decoder.labels([[docs[k][a:b] for a, b in w] for k, w in part])):
             j = 0
             while j < len(path):
@@ -303,7 +318,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Starts and ends are code points, ends exclusive. The patterns' spans always stay; the field adds spans
     that overlap none of them and look like their kind. It decodes the words around digits, @ signs and
-    spelled-out signs that no pattern took, within a line. Null and empty texts have no spans; rows may
+    spelled-out signs that no pattern took, within a line; words of one window, however long, as one sequence. Null and empty texts have no spans; rows may
     repeat, ids may be null; an empty table gives no rows; other columns are not read.
     """
     ship(docs.sparkSession)

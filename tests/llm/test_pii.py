@@ -77,3 +77,18 @@ def test_table(spark, tmp_path):
     one = "email:0:8,ip:13:20"
     assert got == sorted([(1, 1, 1, 0, 0, sha(one), one)] * 2 + [(2, 0, 0, 0, 0, sha(""), ""), (3, 0, 0, 0, 0, sha(""), ""), (None, 1, 0, 0, 0, sha("email:4:10"), "email:4:10"), (4, 0, 0, 0, 1, sha("phone:200000:200014"), "phone:200000:200014")], key=repr)
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("unit, kind", [("(415) 555-0199", "phone"), ("bob (at) example (dot) com", "email")])
+def test_spans_at_any_place_of_a_long_line(decoder, unit, kind):
+    for lead in range(56, 72):
+        text = "tel 7 " * (lead // 2) + "x " * (lead % 2) + unit + " tel 7" * 40
+        at = text.index(unit)
+        assert (kind, at, at + len(unit)) in pii.find_spans([text], decoder)[0][1], lead
+
+
+def test_long_windows_are_decoded_whole(decoder):
+    words = "call (415) 555-0199 or 12 of 7 items , ".split() * 6_000
+    text = " ".join(words)
+    found = pii.find_spans([text, "call me at (555) 123-4567 now"], decoder)
+    assert sum(k == "phone" for k, _, _ in found[0][1]) == 6_000 and found[1][1] == [("phone", 11, 25)]
