@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,7 +26,7 @@ STATISTICS = ("fan", "degree", "ratio", "mean", "sum", "min", "max", "median", "
 
 @dataclass(frozen=True)
 class Pattern:
-    """One family: its window of time, its bins, and for cycles the greatest length."""
+    """One family: its window of time, its bins, and for cycles the greatest length (0: none, for temporal cycles)."""
 
     window: int
     bins: tuple[int, ...] = (2, 3, 4, 6, 8, 10)
@@ -69,9 +70,10 @@ class FeatureConfig:
             raise ValueError(f"statistics are different ones of {STATISTICS}")
         if self.statistics and (self.statistics_window is None or self.statistics_window < 0):
             raise ValueError("statistics need a window that is not negative")
-        for p in (self.temporal_cycle, self.length_cycle):
-            if p and p.max_length < 2:
-                raise ValueError("cycles need a max_length of 2 or more")
+        if self.length_cycle and self.length_cycle.max_length < 2:
+            raise ValueError("length cycles need a max_length of 2 or more")
+        if self.temporal_cycle and self.temporal_cycle.max_length != 0 and self.temporal_cycle.max_length < 2:
+            raise ValueError("temporal cycles need a max_length of 2 or more, or 0 for none")
 
     @cached_property
     def kept(self) -> int:
@@ -219,29 +221,35 @@ class GraphFeatures:
     # ---- cycles ----
 
     def cycles(self, name: str) -> DataFrame:
-        """seq, {name}_{k}: simple cycles through the row's edge, by bucket of their length, up to the pattern's max_length.
+        """seq, {name}_{k}: simple cycles through the row's edge, by bucket of their length, up to the pattern's max_length if it has one.
 
         temporal_cycle: only those for which some choice among parallel edges, the row's own time first, goes
         around with exactly one step back in time. Each hop is a join of the open paths with the window's edges.
+        Without a max_length hops go on, each kept for the next, until no path is open; paths repeat no account, so they end.
         """
         pattern: Pattern = getattr(self.config, name)
         timed = name == "temporal_cycle"
         open_ = self.rows.where("source != target").select("b", "seq", F.col("source").alias("u"), F.array("source", "target").alias("path"), F.col("target").alias("last"), F.col("t").alias("t0"), F.col("t").alias("prev"), F.lit(0).alias("downs"))
         closed = None
-        for length in range(2, pattern.max_length + 1):
+        for length in count(2):
             step = self._see(open_, "last", "out", pattern.window).select(*open_.columns, "nbr", "et")
             if timed:
                 step = step.withColumn("downs", F.col("downs") + (F.col("et") <= F.col("prev")).cast("int")).where("downs <= 1")
+                # what lies behind the step back rises, and must close before the row's own time
+                step = step.where("downs = 0 OR et < t0")
             back = step.where("nbr = u")
             if timed:
                 back = back.where((F.col("downs") + (F.col("t0") <= F.col("et")).cast("int")) == 1)
             done = back.select("seq", "path").distinct().select("seq", F.lit(length).alias("n"))
             closed = done if closed is None else closed.unionByName(done)
-            if length < pattern.max_length:
-                go = step.where(~F.array_contains("path", F.col("nbr")))
-                go = go.select("b", "seq", "u", F.concat("path", F.array("nbr")).alias("path"), F.col("nbr").alias("last"), "t0", (F.col("et") if timed else F.col("prev")).alias("prev"), "downs")
-                # parallel edges lead to one path; with times, to one for each distinct state
-                open_ = go.distinct()
+            if length == pattern.max_length:
+                break
+            go = step.where(~F.array_contains("path", F.col("nbr")))
+            go = go.select("b", "seq", "u", F.concat("path", F.array("nbr")).alias("path"), F.col("nbr").alias("last"), "t0", (F.col("et") if timed else F.col("prev")).alias("prev"), "downs")
+            # parallel edges lead to one path; with times, to one for each distinct state
+            open_ = go.distinct()
+            if not pattern.max_length and not (open_ := open_.persist()).count():
+                break
         return closed.groupBy("seq").agg(*(c.alias(f"{name}_{k}") for k, c in enumerate(bucket_counts(F.col("n"), pattern.bins))))
 
     # ---- statistics ----

@@ -359,7 +359,7 @@ CONFIGS = {
     "gfp_degree_out": gf.FeatureConfig(degree_out=gf.Pattern(DAY, BINS)),
     "gfp_scatter_gather": gf.FeatureConfig(scatter_gather=gf.Pattern(12 * HOUR, (2, 3)), retention=DAY),
     "gfp_length_cycle": gf.FeatureConfig(length_cycle=gf.Pattern(12 * HOUR, (2, 3, 4), 4), retention=DAY),
-    "gfp_temporal_cycle": gf.FeatureConfig(temporal_cycle=gf.Pattern(12 * HOUR, (2, 3, 4), 4), retention=DAY),
+    "gfp_temporal_cycle": gf.FeatureConfig(temporal_cycle=gf.Pattern(12 * HOUR, (2, 3, 4)), retention=DAY),
     "gfp_statistics": gf.FeatureConfig(statistics_window=DAY, statistics=gf.STATISTICS, value_columns=("amount",), retention=2 * DAY),
 }
 
