@@ -29,13 +29,14 @@ def ordered_or_late(batch: DataFrame, last_us: int | None) -> DataFrame:
     return batch.where(t < F.lit(last_us)) if last_us is not None else batch.where(F.lit(False))
 
 
-def rolling_account_state(stream: DataFrame, *, retention_us: int, max_edges: int = 1000, watermark: str = "1 hour") -> DataFrame:
+def rolling_account_state(stream: DataFrame, *, retention_us: int, max_edges: int = -1, watermark: str = "1 hour") -> DataFrame:
     """For each transfer, what its source has sent within the retention before it: fan_out, degree_out, amount_out (itself included).
 
-    State is per account, at most max_edges transfers, the oldest leaving first; it expires with event time.
+    State is per account: what the retention holds, or with max_edges at most so many transfers, the oldest leaving
+    first (-1 for no bound); it expires with event time.
     """
-    if retention_us <= 0 or max_edges < 1:
-        raise ValueError("retention and max_edges are positive")
+    if retention_us <= 0 or max_edges == 0 or max_edges < -1:
+        raise ValueError("retention is positive, max_edges -1 or positive")
     out = "transaction_id string, source string, t_us long, fan_out long, degree_out long, amount_out double"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -47,7 +48,8 @@ def rolling_account_state(stream: DataFrame, *, retention_us: int, max_edges: in
         made = []
         for r in rows.itertuples():
             kept.append((int(r.t_us), str(r.target), float(r.amount)))
-            kept = [e for e in kept if e[0] > r.t_us - retention_us][-max_edges:]
+            kept = [e for e in kept if e[0] > r.t_us - retention_us]
+            kept = kept[-max_edges:] if max_edges > 0 else kept
             made.append((r.transaction_id, key[0], int(r.t_us), len({e[1] for e in kept}), len(kept), sum(e[2] for e in kept)))
         state.update(tuple(map(list, zip(*kept))) if kept else ([], [], []))
         at = state.getCurrentWatermarkMs()

@@ -30,6 +30,13 @@ def test_rolling_state(stream):
     assert few["t5"] == 2
 
 
+def test_rolling_state_has_no_count_bound(spark, tmp_path):
+    rows = [(f"t{k:04}", "A", f"b{k}", T0 + timedelta(seconds=k), 1.0) for k in range(1_100)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = drain(rolling_account_state(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), retention_us=3_600_000_000)).where("transaction_id = 't1099'").first()
+    assert (got.fan_out, got.degree_out, got.amount_out) == (1_100, 1_100, 1_100.0)
+
+
 def test_recent_neighbors(stream):
     got = {(r.transaction_id, r.account): r.recent for r in drain(recent_neighbors_stream(stream, size=2)).collect()}
     assert got[("t1", "A")] == [] and got[("t2", "A")] == ["B"] and got[("t3", "A")] == ["C", "B"]
