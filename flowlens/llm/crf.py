@@ -1,4 +1,4 @@
-"""A linear-chain conditional random field in numpy: batched forward-backward for training, batched Viterbi for decoding."""
+"""A linear-chain conditional random field in numpy, trained by batched forward-backward."""
 
 from __future__ import annotations
 
@@ -66,18 +66,3 @@ def train(sentences: list[list[list[str]]], labels: list[list[int]], n_labels: i
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
             params[k] = params[k] + rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
     return Field(index, *params)
-
-
-def viterbi(emissions: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The best labels (batch, length) of sequences of one length, whose emissions are (batch, length, labels)."""
-    score = first + emissions[:, 0]
-    back = np.empty((emissions.shape[1] - 1, *score.shape), np.int8 if score.shape[1] < 128 else np.int64)
-    for j in range(1, emissions.shape[1]):
-        all_ = score[:, :, None] + pair
-        back[j - 1] = all_.argmax(1)
-        score = all_.max(1) + emissions[:, j]
-    path = [score.argmax(1)]
-    rows = np.arange(len(emissions))
-    for b in back[::-1]:
-        path.append(b[rows, path[-1]])
-    return np.stack(path[::-1], 1)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import ipaddress
 import random
 import re
-from collections import defaultdict
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .arrow import pieces, texts
 from .common import ship
-from .crf import Field, train, viterbi
+from .crf import Field, train
 
 KINDS = ("email", "ip", "card", "phone")
 #: O, then B- and I- of each kind.
@@ -80,22 +81,27 @@ def base_spans(text: str) -> list[Span]:
 
 #: Words that hint at personal data, among the features of a token and its neighbours.
 HINTS = frozenset("at dot tel phone mobile call fax mail email ip host server card visa credit version page date isbn order".split())
-#: Characters of context decoded on either side of a digit, an @ or a spelled-out sign.
-AROUND = 48
-#: Words decoded at once, in many windows or one longer one.
-WORDS_AT_ONCE = 16_384
+#: The label that plain words may carry, inside a spelled-out address.
+INNER = LABELS.index("I-email")
+#: Words whose scores are added up at once.
+WORDS_AT_ONCE = 65_536
+#: Links of the chains that advance together; a longer chain comes alone.
+LINKS_AT_ONCE = 1 << 18
+#: Characters of a text that are split into words at once, a word at least.
+SPLIT = 1 << 20
+#: Words and kinds of words a decoder remembers; a full memory is emptied.
+MEMORY = 200_000
 _TOKEN = re.compile(r"\S+")
-_TRIGGER = re.compile(r"[0-9@]+|[(\[](?:at|dot|AT|DOT)[)\]]")
+_BLANK = re.compile(r"\s")
 _TO_SHAPE = str.maketrans({**{c: "d" for c in "0123456789"}, **{chr(c): "x" for c in range(97, 123)}, **{chr(c): "X" for c in range(65, 91)}})
 _RUN = re.compile(r"(x)x+|(X)X+|[^\W\d_xXd]+")
 _DIGITS = re.compile("d+")
 _TAIL = ".,;:!?\"'»)]"
 
 
-@lru_cache(maxsize=65_536)
 def token_key(token: str) -> tuple[str, ...]:
     """The features of a token itself: its shape with and without the lengths of digit runs, how many digits, hints."""
-    word = token[:48].rstrip(_TAIL) or token[:48]
+    word = token.rstrip(_TAIL) or token
     shape = _RUN.sub(lambda m: m[1] or m[2] or "x", word.translate(_TO_SHAPE))
     n = shape.count("d")
     hint = word.lower().strip("()[].:,")
@@ -130,19 +136,31 @@ def labelled_table(n: int = 500, seed: int = 5) -> list[tuple[list[str], list[st
         c = card()
         return sep.join(c[k : k + 4] for k in range(0, 16, 4))
 
+    def sign(word: str) -> str:
+        word = r.choice([word, word, word.title(), word.upper()])
+        return r.choice(["({})", "[{}]"]).format(word)
+
     groups = lambda *sizes: [some(k) for k in sizes]
     octets = lambda: ".".join(str(r.randint(0, 255)) for _ in range(4))
     made = {
-        "email": [lambda: f"{name()}@{word()}.{top()}", lambda: f"{name()} (at) {word()}.{top()}", lambda: f"{name()} [at] {word()} [dot] {top()}", lambda: f"{name()} (at) {word()} (dot) {top()}", lambda: f"{name()}[at]{word()}.{top()}"],
-        "ip": [octets, octets, lambda: ":".join(f"{r.randint(4096, 65535):x}" for _ in range(8)), lambda: f"{r.randint(8192, 16383):x}:{r.randint(256, 4095):x}::{r.randint(1, 4095):x}"],
+        "email": [
+            lambda: f"{name()}@{word()}.{top()}", lambda: f"{name()} {sign('at')} {word()}.{top()}", lambda: f"{name()} {sign('at')} {word()} {sign('dot')} {top()}", lambda: f"{name()}{sign('at')}{word()}.{top()}",
+            lambda: f"{name()} at {word()} dot {top()}", lambda: f"{name()} AT {word()} DOT {top()}",
+        ],
+        "ip": [
+            octets, octets, lambda: ":".join(f"{r.randint(4096, 65535):x}" for _ in range(8)), lambda: f"{r.randint(8192, 16383):x}:{r.randint(256, 4095):x}::{r.randint(1, 4095):x}",
+            lambda: "".join(r.choices("abcdef", k=4)) + ":" + "".join(r.choices("abcdef", k=r.randint(2, 4))) + "::", lambda: f"fe80::{r.randint(1, 65535):x}",
+        ],
         "card": [card, lambda: quads(" "), lambda: quads("-"), lambda: quads("."), lambda: quads("/")],
-        "phone": [lambda: "+1 ({}) {}-{}".format(*groups(3, 3, 4)), lambda: "({}) {}-{}".format(*groups(3, 3, 4)), lambda: "-".join(groups(3, 3, 4)), lambda: ".".join(groups(3, 3, 4)), lambda: "+{} {} {}".format(*groups(2, 3, 7)), lambda: "1-" + "-".join(groups(3, 3, 4)), lambda: "0{}/{}".format(*groups(3, 7))],
+        "phone": [lambda: "+1 ({}) {}-{}".format(*groups(3, 3, 4)), lambda: "({}) {}-{}".format(*groups(3, 3, 4)), lambda: "-".join(groups(3, 3, 4)), lambda: ".".join(groups(3, 3, 4)), lambda: "+{} {} {}".format(*groups(2, 3, 7)), lambda: "1-" + "-".join(groups(3, 3, 4)), lambda: "0{}/{}".format(*groups(3, 7)), lambda: " ".join(groups(3, 3, 4)), lambda: "0{} {}".format(*groups(2, 7)), lambda: "0{} {} {}".format(*groups(2, 4, 4))],
     }
     alike = [
         lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}", lambda: f"${r.randint(1, 99)},{some(3)}.{some(2)}",
         lambda: f"version {r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", lambda: f"v{r.randint(0, 9)}.{r.randint(0, 20)}", lambda: some(r.randint(1, 12)), lambda: f"{r.randint(10, 23)}:{some(2)}:{some(2)}",
         lambda: f"#{some(6)}", lambda: f"isbn 978-{some(1)}-{some(2)}-{some(6)}-{some(1)}", lambda: f'token = "{r.getrandbits(160):040x}"', lambda: f"{r.getrandbits(64):016x}", lambda: f"@{word()}", lambda: f"page {r.randint(1, 400)} at {r.randint(1, 9)}",
         lambda: f"order {some(4)}-{some(7)}-{some(7)}", lambda: f"{some(2)}%", lambda: f"https://{word()}.{top()}/{some(5)}", lambda: f"CC BY-NC {r.randint(1, 4)}.0", lambda: f"{some(3)},{some(3)},{some(3)}", lambda: f"{some(1)}.{some(2)}",
+        lambda: " ".join(some(r.randint(1, 4)) for _ in range(r.randint(2, 6))), lambda: f"{r.randint(1900, 2030)} {r.randint(1900, 2030)}", lambda: f"look at {word()}", lambda: f"the dot {word()}", lambda: f"{word()} at {word()} {word()}", lambda: f"std::{word()}", lambda: f"{word()}::{word()}",
+        lambda: f"{word()} ({word()}) {word()}", lambda: f"{word()}&&&", lambda: f"{word()}***", lambda: f"{word()}$$$", lambda: "| " + " | ".join(some(r.randint(1, 5)) for _ in range(3)) + " |",
     ]
     lead = {"email": ["email", "mail", "write to"], "ip": ["ip", "host", "server"], "card": ["card", "visa", "credit card"], "phone": ["tel", "phone", "call", "fax"]}
     table = []
@@ -154,8 +172,8 @@ def labelled_table(n: int = 500, seed: int = 5) -> list[tuple[list[str], list[st
             tokens.extend(new)
             labels.extend(["O"] * len(new) if kind is None else [f"B-{kind}", *[f"I-{kind}"] * (len(new) - 1)])
 
-        for _ in range(r.randint(0, 4)):
-            add(word())
+        for _ in range(r.choice([r.randint(0, 4), r.randint(6, 16)])):
+            add(r.choice([word(), word(), word().title(), word() + r.choice(".,;:")]))
         for _ in range(r.choice([0, 1, 1, 1, 2])):
             kind = r.choice(KINDS)
             if r.random() < 0.3:
@@ -184,46 +202,155 @@ def default_field() -> Field:
 
 
 class Decoder:
-    """Labels windows of words, remembering what each word shape adds to its own and its neighbours' scores."""
+    """Labels whole texts: all words of a text, however many, are one chain, whose best path Viterbi finds.
+
+    A word whose own scores favour O by more than all that any neighbours' labels could win back is O on
+    the best path whatever they are. Words that could only be O or INNER, and lose by INNER even between
+    others of it, are O as well where the losses between them and the next word of more choice exceed what the ends
+    of such a stretch could win. All these words cut the chain without changing its best path, so that only the
+    stretches between them advance, those of equal length together.
+    """
 
     def __init__(self, field: Field) -> None:
         self.field = field
-        self.memory: dict[tuple[str, ...], np.ndarray] = {}
-        self.ends = {s: field.emission([f"{s}end"]) for s in (-2, -1, 1, 2)}
-
-    def _scores(self, key: tuple[str, ...]) -> np.ndarray:
-        got = self.memory.get(key)
-        if got is None:
-            if len(self.memory) > 100_000:
-                self.memory.clear()
-            # what a token adds to the score two before, one before, itself, one behind, two behind
-            got = self.memory[key] = np.stack([self.field.emission([f"{s}{f}" for f in key]) for s in (2, 1, 0, -1, -2)])
-        return got
-
-    def labels(self, windows: list[list[str]]) -> list[np.ndarray]:
-        by_length = defaultdict(list)
-        for k, w in enumerate(windows):
-            by_length[len(w)].append(k)
-        out: list[np.ndarray] = [np.empty(0, int)] * len(windows)
-        for n, members in by_length.items():
-            e = np.zeros((len(members), n + 4, len(LABELS)))
-            step = max(1, WORDS_AT_ONCE // len(members))
-            for at in range(0, n, step):
-                parts = np.array([[self._scores(token_key(t)) for t in windows[k][at : at + step]] for k in members])
-                for s in range(5):
-                    e[:, at + s : at + s + parts.shape[1]] += parts[:, :, s]
-            e = e[:, 2:-2]
-            for s, end in self.ends.items():
-                if s < 0:
-                    e[:, :-s] += end
-                else:
-                    e[:, max(0, n - s) :] += end
-            for k, path in zip(members, viterbi(e, self.field.pair, self.field.first)):
-                out[k] = path
-        return out
-
-
-_EMAIL_LIKE = re.compile(r"[^\s@]+(?:@|\s?[(\[]at[)\]]\s?)[^\s@]+?(?:\.|\s?[(\[]dot[)\]]\s?)[^\s@]*[A-Za-z]", re.I)
+        self.known = {name.lstrip("-")[1:] for name in field.index}
+        before = np.vstack([field.pair, field.first])
+        behind = np.hstack([field.pair, np.zeros((len(LABELS), 1))])
+        #: By how much neighbours can favour each label over O at most.
+        self.reach = (before - before[:, :1]).max(0) + (behind - behind[:1]).max(1)
+        pair, w = field.pair, INNER
+        #: What a word wins by INNER between others of it; what the ends of a stretch of it win at most.
+        self.inside = pair[w, w] - pair[0, 0]
+        self.ends = self.reach[w] - self.inside
+        #: Whether a stretch of nothing but INNER, between words that are O, wins nothing by its ends.
+        self.alone = pair[0, w] + pair[w, 0] - 2 * pair[0, 0] <= self.inside
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.kinds: dict[tuple[str, ...], int] = {}
+        # what a word adds to the score two before, one before, itself, one behind, two behind; row 0 is the end of a text
+        self.table = np.zeros((5, 1024, len(LABELS)))
+        for s, at in ((2, 0), (1, 1), (-1, 3), (-2, 4)):
+            self.table[at, 0] = self.field.emission([f"{s}end"])
+
+    def _row(self, token: str) -> int:
+        key = tuple(f if f in self.known else "" for f in token_key(token))
+        row = self.kinds.get(key)
+        if row is None:
+            row = self.kinds[key] = len(self.kinds) + 1
+            if row == self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+            self.table[:, row] = [self.field.emission([f"{s}{f}" for f in key]) for s in (2, 1, 0, -1, -2)]
+        if len(token) <= 64:
+            self.words[token] = row
+        return row
+
+    def rows(self, text: str) -> np.ndarray:
+        """The table's row of every word of a text."""
+        parts = []
+        for a, b in _stretches(text):
+            tokens = text[a:b].split()
+            found = list(map(self.words.get, tokens))
+            if None in found:
+                # looked up again, as a new word may come more than once
+                found = [self.words.get(t) or self._row(t) if k is None else k for k, t in zip(found, tokens)]
+            parts.append(np.array(found, np.int32))
+            if len(self.words) > MEMORY:
+                self.words.clear()
+        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+
+    def _scores(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The labels' scores of the words at places of ids, of any shape."""
+        t = self.table
+        return t[2, ids[at]] + t[1, ids[at + 1]] + t[3, ids[at - 1]] + t[0, ids[at + 2]] + t[4, ids[at - 2]]
+
+    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, label) of every word that is not O; ids are rows of texts, with two zeros before, between and behind them."""
+        cut, loss = np.ones(len(ids), bool), np.zeros(len(ids))
+        far = self.ends + 1
+        for a in range(2, len(ids) - 2, WORDS_AT_ONCE):
+            at = np.arange(a, min(a + WORDS_AT_ONCE, len(ids) - 2))
+            e = self._scores(ids, at)
+            out = e[:, :1] - e > self.reach
+            out[:, 0] = True
+            lose = e[:, 0] - e[:, INNER] - self.inside
+            few = out[:, :INNER].all(1) & out[:, INNER + 1 :].all(1) & (lose > 0) & self.alone
+            sure = out.all(1)
+            cut[at] = sure | (ids[at] == 0)
+            loss[at] = np.where(ids[at] == 0, 0.0, np.where(sure, far, np.where(few, lose, 0.0)))
+        # losses up to each word from the last one of more choice, or the text's end, and back from the next
+        total, choice = np.cumsum(loss), loss == 0
+        from_last = total - np.maximum.accumulate(np.where(choice, total, 0.0))
+        to_next = np.minimum.accumulate(np.where(choice, total, np.inf)[::-1])[::-1] - total + loss
+        cut |= ~choice & (from_last > self.ends) & (to_next > self.ends)
+        edge = np.flatnonzero(cut[1:] != cut[:-1]) + 1
+        starts, ends = edge[::2], edge[1::2]
+        order = np.argsort(ends - starts, kind="stable")
+        starts, lengths = starts[order], (ends - starts)[order]
+        places, labels, k = [], [], 0
+        while k < len(starts):
+            n = int(lengths[k])
+            stop = min(int(np.searchsorted(lengths, n, "right")), k + max(1, LINKS_AT_ONCE // n))
+            part = starts[k:stop]
+            path = self._best(ids, part, n)
+            row, link = np.nonzero(path)
+            places.append(part[row] + link), labels.append(path[row, link])
+            k = stop
+        if not places:
+            return np.empty(0, np.int64), np.empty(0, np.int8)
+        at, y = np.concatenate(places), np.concatenate(labels)
+        order = np.argsort(at)
+        return at[order], y[order]
+
+    def _best(self, ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        """Viterbi over stretches of n words between words that are O or the ends of texts."""
+        pair, rows = self.field.pair, np.arange(len(starts))
+        score = np.where((ids[starts - 1] == 0)[:, None], self.field.first, pair[0])
+        back = np.empty((n - 1, len(starts), len(LABELS)), np.int8)
+        step = max(1, WORDS_AT_ONCE // len(starts))
+        for a in range(0, n, step):
+            e = self._scores(ids, starts[:, None] + np.arange(a, min(a + step, n)))
+            for j in range(e.shape[1]):
+                if a + j:
+                    every = score[:, :, None] + pair
+                    back[a + j - 1] = every.argmax(1)
+                    score = every.max(1)
+                score = score + e[:, j]
+        score = score + np.where((ids[starts + n] == 0)[:, None], 0.0, pair[:, 0])
+        path = np.empty((len(starts), n), np.int8)
+        path[:, -1] = score.argmax(1)
+        for j in range(n - 2, -1, -1):
+            path[:, j] = back[j][rows, path[:, j + 1]]
+        return path
+
+
+def _stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Parts of a text of about SPLIT characters, cut at blanks."""
+    a = 0
+    while a < len(text):
+        m = _BLANK.search(text, a + SPLIT) if len(text) - a > SPLIT else None
+        b = m.end() if m else len(text)
+        yield a, b
+        a = b
+
+
+def _places(text: str, wanted: list[int]) -> dict[int, tuple[int, int]]:
+    """(start, end) of some words of a text, by their numbers, which rise."""
+    out, first, k = {}, 0, 0
+    for a, b in _stretches(text):
+        if k == len(wanted):
+            break
+        words = [m.span() for m in _TOKEN.finditer(text, a, b)]
+        while k < len(wanted) and wanted[k] < first + len(words):
+            out[wanted[k]] = words[wanted[k] - first]
+            k += 1
+        first += len(words)
+    return out
+
+
+_SPELLED = r"(?:\s?[(\[]{0}[)\]]\s?|\s{0}\s)"
+_EMAIL_LIKE = re.compile(r"[^\s@]+(?:@|" + _SPELLED.format("at") + r")[^\s@]+?(?:\.|" + _SPELLED.format("dot") + r")[^\s@]*[A-Za-z]", re.I)
 _PHONE_LIKE = re.compile(r"[0-9+(][\x20()./0-9-]*[0-9]")
 _CARD_LIKE = re.compile(r"[0-9](?:[\x20./-]?[0-9])+")
 
@@ -242,71 +369,49 @@ def _plausible(kind: str, text: str) -> bool:
         return False
 
 
-def _windows(text: str, taken: list[Span]) -> list[list[tuple[int, int]]]:
-    """Words (start, end) around each trigger outside the spans that are taken, by window; windows stay within a line."""
-    held, out, k = sorted((a, b) for _, a, b in taken), [], 0
-    spots: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = m.span()
-        while k < len(held) and held[k][1] <= a:
-            k += 1
-        if k < len(held) and held[k][0] <= a:
-            continue
-        low = max(0, a - AROUND, text.rfind("\n", max(0, a - AROUND), a) + 1)
-        stop = text.find("\n", b, b + AROUND)
-        high = min(len(text), b + AROUND) if stop < 0 else stop
-        if spots and low <= spots[-1][1]:
-            spots[-1][1] = max(high, spots[-1][1])
-        else:
-            spots.append([low, high])
-    for low, high in spots:
-        while low > 0 and not text[low - 1].isspace():
-            low -= 1
-        words = [(m.start(), m.end()) for m in _TOKEN.finditer(text, low, high)]
-        if words and words[-1][1] == high and high < len(text) and (m := _TOKEN.match(text, words[-1][0])):
-            words[-1] = m.span()
-        if words:
-            out.append(words)
+def _spans_of(text: str, base: list[Span], words: np.ndarray, labels: np.ndarray) -> list[Span]:
+    """The plausible spans of a text's words that have labels, but for those that overlap base ones."""
+    found, k = [], 0
+    number, label = words.tolist(), labels.tolist()
+    while k < len(number):
+        end = k + 1
+        if label[k] % 2:  # else an I without its B
+            while end < len(number) and number[end] == number[end - 1] + 1 and label[end] == label[k] + 1:
+                end += 1
+            found.append((KINDS[label[k] // 2], number[k], number[end - 1]))
+        k = end
+    if not found:
+        return []
+    where = _places(text, sorted({w for _, a, b in found for w in (a, b)}))
+    held, out = sorted((a, b) for _, a, b in base), []
+    starts, reach = [a for a, _ in held], list(accumulate((b for _, b in held), max))
+    for kind, first, last in found:
+        a, b = where[first][0], where[last][1]
+        a += len(text[a:b]) - len(text[a:b].lstrip("\"'«[<"))
+        b -= len(text[a:b]) - len(text[a:b].rstrip(_TAIL + ">"))
+        k = bisect_left(starts, b)  # of the base spans that start before b, does one end behind a?
+        if _plausible(kind, text[a:b]) and not (k and reach[k - 1] > a):
+            out.append((kind, a, b))
     return out
 
 
-def _batches(where: list[tuple[int, list[tuple[int, int]]]]) -> Iterator[list[tuple[int, list[tuple[int, int]]]]]:
-    """Whole windows, shortest first, in batches of up to WORDS_AT_ONCE words; a longer window comes alone."""
-    batch, size = [], 0
-    for x in sorted(where, key=lambda x: len(x[1])):
-        if batch and size + len(x[1]) > WORDS_AT_ONCE:
-            yield batch
-            batch, size = [], 0
-        batch.append(x)
-        size += len(x[1])
-    if batch:
-        yield batch
-
-
 def find_spans(docs: list[str], decoder: Decoder) -> list[tuple[list[Span], list[Span]]]:
     """(base, all) spans of each text; code points, end exclusive, by kind and start."""
+    if len(decoder.kinds) > MEMORY:
+        decoder._forget()
     base = [base_spans(t) for t in docs]
-    where = [(k, w) for k, (t, b) in enumerate(zip(docs, base)) for w in _windows(t, b)]
-    added: dict[int, list[Span]] = defaultdict(list)
-    for part in _batches(where):
-        for (k, words), path in zip(part, decoder.labels([[docs[k][a:b] for a, b in w] for k, w in part])):
-            j = 0
-            while j < len(path):
-                if path[j] % 2 == 0:  # O, or an I without its B
-                    j += 1
-                    continue
-                end = j + 1
-                while end < len(path) and path[end] == path[j] + 1:
-                    end += 1
-                a, b = words[j][0], words[end - 1][1]
-                a += len(docs[k][a:b]) - len(docs[k][a:b].lstrip("\"'«[<"))
-                b -= len(docs[k][a:b]) - len(docs[k][a:b].rstrip(_TAIL + ">"))
-                kind = KINDS[path[j] // 2]
-                if _plausible(kind, docs[k][a:b]) and not any(a < y and x < b for _, x, y in base[k]):
-                    added[k].append((kind, a, b))
-                j = end
+    rows = [decoder.rows(t) for t in docs]
+    gap = np.zeros(2, np.int32)
+    at, label = decoder.paths(np.concatenate([gap, *(x for r in rows for x in (r, gap))]))
+    starts = np.cumsum([2, *(len(r) + 2 for r in rows)])
+    cuts = np.searchsorted(at, starts).tolist()
     order = lambda s: (KINDS.index(s[0]), s[1], s[2])
-    return [(b, sorted({*b, *added[k]}, key=order) if k in added else b) for k, b in enumerate(base)]
+    out = []
+    for k, (t, b) in enumerate(zip(docs, base)):
+        part = slice(cuts[k], cuts[k + 1])
+        added = _spans_of(t, b, at[part] - starts[k], label[part]) if cuts[k] < cuts[k + 1] else []
+        out.append((b, sorted({*b, *added}, key=order) if added else b))
+    return out
 
 
 def spell(spans: list[Span]) -> str:
@@ -317,9 +422,9 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """One row per input row: the id, spans (array of kind, start, end), and which of them the patterns found (base).
 
     Starts and ends are code points, ends exclusive. The patterns' spans always stay; the field adds spans
-    that overlap none of them and look like their kind. It decodes the words around digits, @ signs and
-    spelled-out signs that no pattern took, within a line; words of one window, however long, as one sequence. Null and empty texts have no spans; rows may
-    repeat, ids may be null; an empty table gives no rows; other columns are not read.
+    that overlap none of them and look like their kind. It decodes every word of a text as one chain, across
+    lines; a very long text comes alone and is split into words in parts, which changes nothing. Null and empty texts
+    have no spans; rows may repeat, and each is described; ids may be null; an empty table gives no rows; other columns, whatever their names, are not read.
     """
     ship(docs.sparkSession)
     field = field or default_field()
