@@ -85,20 +85,12 @@ def test_spanning_edges_of_dense_leaf_are_few():
     assert len({find(k) for k in range(len(fps))}) == len(set(forest(fps, 3)))
 
 
-@pytest.mark.parametrize("leaf", [4, 512])
-def test_components_of_planted_fingerprints(spark, monkeypatch, leaf):
-    fps = clustered(9, 80, 5)
+def check_components(spark, monkeypatch, fps):
     order = np.random.default_rng(1).permutation(len(fps))
-    rows = [(int(k), int(fps[k].view(np.int64) if hasattr(fps[k], "view") else fps[k])) for k in order]
-    rows += [(k + 10_000, f) for k, f in rows[:40]] + [(None, rows[0][1])]
-
-    def planted(docs, **_):
-        return docs.selectExpr("doc_id AS id", "fp")
-
-    monkeypatch.setattr(module, "fingerprints", planted)
-    monkeypatch.setattr(module, "LEAF", leaf)
-    docs = spark.createDataFrame(rows, "doc_id long, fp long")
-    got = simhash_components(docs).collect()
+    rows = [(int(k), int(fps[k].view(np.int64))) for k in order]
+    rows += [(k + 100_000, f) for k, f in rows[:40]] + [(None, rows[0][1])]
+    monkeypatch.setattr(module, "fingerprints", lambda docs, **_: docs.selectExpr("doc_id AS id", "fp"))
+    got = simhash_components(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
     roots = forest(fps, 3)
     least = {}
     for k, root in enumerate(roots):
@@ -109,6 +101,39 @@ def test_components_of_planted_fingerprints(spark, monkeypatch, leaf):
         assert r.component_id == least[roots[value[int(r.fingerprint, 16)]]]
 
 
+@pytest.mark.parametrize("leaf", [4, 512])
+def test_components_of_planted_fingerprints(spark, monkeypatch, leaf):
+    monkeypatch.setattr(module, "LEAF", leaf)
+    check_components(spark, monkeypatch, clustered(9, 80, 5))
+
+
+def small_limits(monkeypatch, **limits):
+    for name, value in {"LEAF": 16, "SAMPLE": 256, "VISITORS": 64, "CHUNK": 300, **limits}.items():
+        monkeypatch.setattr(module, name, value)
+
+
+def sharing_a_half(n, seed=6):
+    r = random.Random(seed)
+    half = r.getrandbits(32) << 32
+    near = [half | f for f in (r.getrandbits(32) for _ in range(n))]
+    near += [f ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for f in near[::9]]
+    return np.unique(np.array(near + [r.getrandbits(64) for _ in range(n // 3)], np.uint64))
+
+
+@pytest.mark.parametrize("rounds", [6, 0])
+def test_over_full_leaves_are_divided(spark, monkeypatch, rounds):
+    """A hot half: the trees divide what they can, and what is left over is compared in blocks; no link is lost."""
+    small_limits(monkeypatch, ROUNDS=rounds)
+    fps = sharing_a_half(1_500)
+    table = spark.createDataFrame([(int(f.view(np.int64)),) for f in fps], "fp long")
+    placed = module.leaves(table, len(fps), 3)
+    homes = placed.where("NOT ghost").groupBy("view", "fp").count()
+    assert homes.count() == 2 * len(fps) and homes.where("count > 1").isEmpty()
+    cell = module.cells(placed).groupBy("shard", "block", "part").agg({"ghost": "count"}).agg({"count(ghost)": "max"}).first()[0]
+    assert cell <= 4 * (4 * 16 + 64)  # dealt by hash, so about a block and a part
+    check_components(spark, monkeypatch, fps)
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "same words here", "c"), (3, "same words here", "c"), (4, "Same WORDS here", None), (None, None, None)]
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash_components(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()}
