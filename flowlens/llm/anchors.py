@@ -23,7 +23,7 @@ def _gram_hashes(b: np.ndarray) -> np.ndarray:
     return h
 
 
-def runs(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+def runs(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int, seed: int = 0) -> tuple[np.ndarray, ...]:
     """Runs of neighbouring windows with one anchor, over texts that lie in b at starts: (hash, context, text, at, n).
 
     hash: of the anchor's gram; context: of the bytes from the first window's start to the last one's end;
@@ -54,5 +54,5 @@ def runs(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) ->
     n = np.flatnonzero(stop) + 1 - at
     text = np.searchsorted(starts, at, "right") - 1
     data = b.tobytes()
-    context = np.fromiter((xxhash.xxh3_64_intdigest(data[x:y]) for x, y in zip(at.tolist(), (at + n + width - 1).tolist())), np.uint64, len(at))
+    context = np.fromiter((xxhash.xxh3_64_intdigest(data[x:y], seed) for x, y in zip(at.tolist(), (at + n + width - 1).tolist())), np.uint64, len(at))
     return h[place[at]], context, text, at - starts[text], n

@@ -17,35 +17,35 @@ from .common import attach, free, new_path, remove, ship, stage
 from .suffixes import repeated_windows
 
 #: Contexts of one anchor that are sorted in one task; larger groups are dealt out to blocks of about this many.
-GROUP = 2_048
+GROUP = 512
 #: Bytes of contexts in one suffix array.
 SHARD_BYTES = 1 << 20
 #: Bytes of texts whose anchors are found at once.
 PIECE = 2 << 20
 
 
-def _anchor_rows(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+def _anchor_rows(texts: list[bytes], width: int, seed: int) -> tuple[np.ndarray, ...]:
     """runs() over any number of texts of any length: long ones are cut into ranges of windows, which changes no anchor."""
     parts = []
     lengths = np.array([len(t) for t in texts], np.int64)
     if lengths.sum() <= 2 * PIECE:
         b = np.frombuffer(b"".join(texts), np.uint8)
-        return runs(b, np.cumsum(lengths) - lengths, lengths, width)
+        return runs(b, np.cumsum(lengths) - lengths, lengths, width, seed)
     for k, t in enumerate(texts):
         b = np.frombuffer(t, np.uint8)
         for a in range(0, max(1, len(b) - width + 1), PIECE):
             part = b[a : a + PIECE + width - 1]
-            h, c, x, at, n = runs(part, np.zeros(1, np.int64), np.array([len(part)]), width)
+            h, c, x, at, n = runs(part, np.zeros(1, np.int64), np.array([len(part)]), width, seed)
             parts.append((h, c, x + k, at + a, n))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def find_anchors(docs: DataFrame, width: int) -> DataFrame:
+def find_anchors(docs: DataFrame, width: int, seed: int = 0) -> DataFrame:
     """(id, th, h, c, at, n) of every run of windows of the rows (id, th, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", PIECE):
-            h, c, text, at, n = _anchor_rows(raw(piece, "text"), width)
+            h, c, text, at, n = _anchor_rows(raw(piece, "text"), width, seed)
             rows = pa.array(text)
             arrays = [piece.column("id").take(rows), piece.column("th").take(rows), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(at, pa.int64()), pa.array(n.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "th", "h", "c", "at", "n"])
@@ -54,16 +54,22 @@ def find_anchors(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _contexts(wanted: DataFrame, width: int) -> DataFrame:
-    """(h, c, m, contexts, bytes) for rows (text, list of h, c, m, contexts, at, n)."""
+    """(h, c, m, contexts, bytes) for rows (text, list of h, c, m, contexts, at, n); equal ones of a piece of texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", PIECE):
             lists = piece.column("list")
             flat, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
-            at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy()
+            at, n, h, c = (flat.field(x).to_numpy().tolist() for x in ("at", "n", "h", "c"))
             body = raw(piece, "text")
-            cut = [body[k][a : a + w] for k, a, w in zip(np.repeat(np.arange(len(body)), counts).tolist(), at.tolist(), (n + width - 1).tolist())]
-            yield pa.RecordBatch.from_arrays([*(flat.field(x) for x in ("h", "c", "m", "contexts")), pa.array(cut, pa.binary())], ["h", "c", "m", "contexts", "bytes"])
+            seen: dict[tuple[int, int], bytes] = {}
+            keep, cut = [], []
+            for row, (k, a, w, x, y) in enumerate(zip(np.repeat(np.arange(len(body)), counts).tolist(), at, n, h, c)):
+                s = body[k][a : a + w + width - 1]
+                if seen.setdefault((x, y), s) is s or seen[x, y] != s:
+                    keep.append(row), cut.append(s)
+            taken = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(flat.field(x).take(taken) for x in ("h", "c", "m", "contexts")), pa.array(cut, pa.binary())], ["h", "c", "m", "contexts", "bytes"])
 
     return wanted.mapInArrow(run, "h long, c long, m long, contexts long, bytes binary")
 
@@ -84,19 +90,17 @@ def _result(h: list[int], c: list[int], flags: list[np.ndarray]) -> pa.RecordBat
 
 
 def _shards(contexts: DataFrame, width: int) -> DataFrame:
-    """(h, c, ranges): the repeated windows of contexts whose anchors lie whole in a partition, in order of h and c.
-
-    One suffix array takes some anchors at a time; a repeated row's second context is passed over.
-    """
+    """(h, c, ranges): the repeated windows of contexts whose anchors lie whole in a partition, in order of h and c; one suffix array takes some anchors at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, c, _, flags in _sorted(batches, width):
+        for h, c, _, flags in _sorted(batches, width, whole=True):
             yield _result(h, c, flags)
 
     return contexts.mapInArrow(run, _RESULT)
 
 
-def _sorted(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[int], list[int], list[bytes], list[np.ndarray]]]:
+def _sorted(batches: Iterator[pa.RecordBatch], width: int, *, whole: bool) -> Iterator[tuple[list[int], list[int], list[bytes], list[np.ndarray]]]:
+    """h, c, bytes and repeated windows of what one suffix array holds: over SHARD_BYTES by one context at most, or by what whole keeps together of an anchor."""
     h: list[int] = []
     c: list[int] = []
     m: list[int] = []
@@ -104,9 +108,7 @@ def _sorted(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[lis
     size = 0
     for batch in batches:
         for x, y, z, s in zip(*(batch.column(k).to_pylist() for k in ("h", "c", "m", "bytes"))):
-            if h and x == h[-1] and y == c[-1]:
-                continue
-            if size > SHARD_BYTES and x != h[-1]:
+            if size > SHARD_BYTES and not (whole and x == h[-1]):
                 yield h, c, b, repeated_windows(b, m, width)
                 h, c, m, b, size = [], [], [], [], 0
             h.append(x), c.append(y), m.append(z), b.append(s)
@@ -118,42 +120,49 @@ def _sorted(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[lis
 def _blocks(contexts: DataFrame, width: int) -> DataFrame:
     """The same for anchors with too many contexts for a task, which are dealt out to blocks of GROUP.
 
-    A suffix array settles the windows that a block repeats. Of each block, one 128-bit hash of every
-    window is then counted across blocks, combined before the shuffle, and what no block settled but
-    another block has too is joined back.
+    A suffix array settles the windows that a block repeats. One hash of every other window, and of one
+    of each that is settled, is then counted across blocks, combined before the shuffle. Only windows whose hash
+    more than one block has meet again, by their bytes, which decide.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "c", "ranges", "k", "w"]
-        for h, c, b, flags in _sorted(batches, width):
+        names = ["h", "c", "ranges", "k", "done", "w"]
+        for h, c, b, flags in _sorted(batches, width, whole=False):
             settled = _result(h, c, flags)
             n = settled.num_rows
-            yield pa.RecordBatch.from_arrays([*settled.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*settled.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64())], names)
             seen: set[bytes] = set()
-            rows: list[tuple[int | None, int | None, int | None, bytes]] = []
+            rows: list[tuple[int, int, int, bool, int]] = []
             for x, y, s, f in zip(h, c, b, flags):
                 for k, done in enumerate(f.tolist()):
-                    w = xxhash.xxh3_128_digest(s[k : k + width])
-                    if not done:
-                        rows.append((x, y, k, w))
-                    elif w not in seen:
-                        seen.add(w)
-                        rows.append((None, None, None, w))
+                    window = s[k : k + width]
+                    if done and window in seen:
+                        continue
+                    if done:
+                        seen.add(window)
+                    rows.append((x, y, k, done, xxhash.xxh3_64_intdigest(window) - (1 << 63)))
             for at in range(0, len(rows), 50_000):
-                x, y, k, w = zip(*rows[at : at + 50_000])
-                arrays = [pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(len(w), _RANGE), pa.array(k, pa.int32()), pa.array(w, pa.binary())]
+                x, y, k, done, w = zip(*rows[at : at + 50_000])
+                arrays = [pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(len(w), _RANGE), pa.array(k, pa.int32()), pa.array(done, pa.bool_()), pa.array(w, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     salt = F.pmod(F.xxhash64("c"), F.ceil(F.col("contexts") / GROUP))
     dealt = contexts.withColumn("salt", salt).repartition("h", "salt").sortWithinPartitions("h", "salt", "c").select("h", "c", "m", "bytes")
-    out = stage(dealt.mapInArrow(run, _RESULT + ", k int, w binary"), "repeat-blocks")
-    windows = out.where("w IS NOT NULL").select("h", "c", "k", "w")
+    out = stage(dealt.mapInArrow(run, _RESULT + ", k int, done boolean, w long"), "repeat-blocks")
+    windows = out.where("w IS NOT NULL").select("h", "c", "k", "done", "w")
     several = windows.groupBy("w").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("w")
-    more = windows.where("k IS NOT NULL").join(several, "w", "left_semi")
+    maybe = windows.join(several, "w", "left_semi").drop("w").join(contexts.select("h", "c", "bytes"), ["h", "c"])
+    maybe = maybe.select("h", "c", "k", "done", F.substring("bytes", F.col("k") + 1, width).alias("window"))
+    twice = maybe.groupBy("window").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("window")
+    more = maybe.where("NOT done").join(twice, "window", "left_semi")
     ranges = F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b")))  # each context has fewer windows than width
     return out.where("w IS NULL").select("h", "c", "ranges").unionByName(more.groupBy("h", "c").agg(ranges.alias("ranges")))
 
 
+class _Clash(Exception):
+    """Different contexts of one anchor share a hash."""
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 200, text_out: bool = False) -> DataFrame:
     """One row per input row: the id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes, with text_out).
 
@@ -162,49 +171,69 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Each window of width bytes belongs to the anchor with the lowest gram hash in it, so equal windows
     have equal anchors. Neighbouring windows with one anchor form a run, and its bytes a context. Runs are
-    counted by anchor and context, combined before the shuffle: anchors that occur once are done, as are
-    those whose occurrences all have one context, which is then repeated as a whole. Of the rest one copy of each
-    context goes to its anchor's shard, where a two-stage suffix sort puts equal windows side by side. Anchors
-    with more than GROUP contexts are sorted in blocks, and what only blocks together repeat is found by hash.
-
-    Null texts are empty; texts shorter than width lose nothing; repeated rows are copies of each other; null
-    ids are ids like any other. An empty table gives no rows; other columns are not read.
+    counted by anchor and context hash, combined before the shuffle: anchors that occur once are done. The bytes
+    of all other runs are gathered by anchor and hash, and must be the same wherever the hash is; should two
+    differ, all starts again with other hashes. An anchor whose occurrences all have one context repeats it as a whole. Of the
+    rest one copy of each context goes to its anchor's shard, where a two-stage suffix sort puts equal
+    windows side by side, and common prefixes of neighbours tell which are. Anchors with more than GROUP
+    contexts are sorted in blocks, and what only blocks together repeat is compared by its bytes.
+
+    Null texts are empty; texts shorter than width lose nothing; very long ones are worked on in parts; repeated rows are copies of each other; null
+    ids are ids like any other. An empty table gives no rows; other columns, whatever their names, are not read.
     """
     if width < GRAM:
         raise ValueError(f"width is {GRAM} bytes or more")
+    ship(docs.sparkSession)
+    for seed in range(8):
+        try:
+            return _remove(docs, id_col, text_col, width, text_out, seed)
+        except _Clash:
+            continue
+    raise RuntimeError("contexts shared a hash eight times")
+
+
+def _remove(docs: DataFrame, id_col: str, text_col: str, width: int, text_out: bool, seed: int) -> DataFrame:
     spark = docs.sparkSession
-    ship(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"), F.col(text_col).cast("string").alias("text"))
-    anchors = stage(find_anchors(rows, width), "repeat-anchors")
+    path, classes_path = new_path(spark, "repeat-anchors"), new_path(spark, "repeat-classes")
+    find_anchors(rows, width, seed).write.parquet(path)
+    anchors = spark.read.parquet(path)
     total = anchors.count()
-    classes = anchors.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.first("id").alias("id"), F.first("th").alias("th"), F.first("at").alias("at"), F.first("n").alias("n"))
-    path = new_path(spark, "repeat-classes")
-    classes.write.parquet(path)
-    free(spark)
-    classes = spark.read.parquet(path)
+    anchors.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).write.parquet(classes_path)
+    classes = spark.read.parquet(classes_path)
     groups = classes.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.sum("m").alias("times")).where("times > 1")
     kept = stage(classes.join(groups.drop("times"), "h"), "repeat-kept")
+    remove(spark, classes_path)
+    free(spark)
+    # every run at an anchor that occurs twice or more; m: how many have its context, contexts: how many its anchor has
+    found = attach(anchors, kept.withColumn("rows", F.col("m")), ["h", "c"], "rows", total).where("contexts IS NOT NULL")
+    again = stage(found, "repeat-runs")
     remove(spark, path)
     free(spark)
 
-    whole = kept.where("contexts = 1").select("h", "c", "m", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("ranges"))
-    many = kept.where("contexts > 1").select("id", "th", F.struct("h", "c", "m", "contexts", "at", "n").alias("x"))
-    per_text = many.groupBy("id", "th").agg(F.collect_list("x").alias("list"))  # bounded by the text's length
+    at = F.struct("h", "c", "m", "contexts", "at", "n")
+    per_text = again.groupBy("id", "th").agg(F.collect_set(at).alias("list"))  # bounded by the text's length
     same = rows["id"].eqNullSafe(per_text["id"]) & (rows["th"] == per_text["th"])
-    contexts = _contexts(rows.join(per_text, same).select("text", "list"), width)
-    over = not kept.where(F.col("contexts") > GROUP).isEmpty()
-    if over:
-        contexts = stage(contexts, "repeat-contexts")
-    small = contexts.where(F.col("contexts") <= GROUP).select("h", "c", "m", "bytes")
+    cut_ = _contexts(rows.join(per_text, same).select("text", "list"), width)
+    contexts = cut_.groupBy("h", "c").agg(F.min("bytes").alias("bytes"), F.max("bytes").alias("last"), F.first("m").alias("m"), F.first("contexts").alias("contexts"))
+    clash = F.col("bytes") != F.col("last")
+    contexts = stage(contexts.select("h", "c", "m", "contexts", F.when((F.col("contexts") > 1) | clash, F.col("bytes")).alias("bytes"), clash.alias("clash")), "repeat-contexts")
+    over, clashes = contexts.agg(F.coalesce(F.max("contexts"), F.lit(0)) > GROUP, F.count_if("clash")).first()
+    if clashes:
+        raise _Clash
+    free(spark)
+    small = contexts.where((F.col("contexts") > 1) & (F.col("contexts") <= GROUP)).select("h", "c", "m", "bytes")
     found = stage(_shards(small.repartition("h").sortWithinPartitions("h", "c"), width), "repeat-sorted")
     if over:
         found = found.unionByName(stage(_blocks(contexts.where(F.col("contexts") > GROUP), width), "repeat-joined"))
     free(spark)
-    found = found.join(kept.select("h", "c", "m"), ["h", "c"])
-    marks = attach(anchors.select("id", "th", "h", "c", "at"), whole.unionByName(found), ["h", "c"], "m", total).where("ranges IS NOT NULL")
-    spans = F.transform("ranges", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"] + (width - 1)).alias("b")))
+    start, stop = F.col("at"), F.col("at") + (width - 1)
+    whole = again.where("contexts = 1").select("id", "th", F.struct(start.alias("a"), (stop + F.col("n")).alias("b")).alias("s"))
+    found = found.join(kept.select("h", "c", F.col("m").alias("rows")), ["h", "c"])
+    parts = attach(again.where("contexts > 1").select("id", "th", "h", "c", "at"), found, ["h", "c"], "rows", total).where("ranges IS NOT NULL")
+    parts = parts.select("id", "th", F.explode(F.transform("ranges", lambda r: F.struct((start + r["a"]).alias("a"), (stop + r["b"]).alias("b")))).alias("s"))
     # a set, so that repeated rows count once; bounded by the text's length
-    marks = stage(marks.select("id", "th", F.explode(spans).alias("s")).groupBy("id", "th").agg(F.collect_set("s").alias("spans")), "repeat-marks")
+    marks = stage(whole.unionByName(parts).groupBy("id", "th").agg(F.collect_set("s").alias("spans")), "repeat-marks")
     free(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

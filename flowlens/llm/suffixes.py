@@ -80,19 +80,36 @@ def _share(places: np.ndarray, t: np.ndarray, buckets: list[list[np.ndarray]]) -
             buckets[t[part[0]]].append(part)
 
 
+def common_prefixes(data: bytes, order: np.ndarray, width: int) -> np.ndarray:
+    """How many bytes, up to width, each place of order has in common with the one behind it; data ends in width + 8 bytes more."""
+    words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))  # eight bytes from every place on
+    out = np.full(max(0, len(order) - 1), width, np.int64)
+    live = np.arange(len(out))
+    a, b = order[:-1], order[1:]
+    for step in range(0, width, 8):
+        differ = words[a + step] ^ words[b + step]
+        end = np.flatnonzero(differ)
+        if len(end):
+            low = differ[end] & (~differ[end] + np.uint64(1))  # the lowest bit that differs lies in the first such byte
+            out[live[end]] = np.minimum(width, step + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3))
+            same = differ == 0
+            live, a, b = live[same], a[same], b[same]
+        if not len(live):
+            break
+    return out
+
+
 def repeated_windows(strings: list[bytes], counts: list[int], width: int) -> list[np.ndarray]:
     """For each string, which of its windows (places of width bytes) occur twice or more; a string with a count over 1 stands for copies."""
     lengths = np.array([len(s) for s in strings])
     n = lengths - width + 1
     starts = np.cumsum(lengths) - lengths
-    data = b"".join(strings) + bytes(width + 1)
+    data = b"".join(strings) + bytes(width + 8)
     total = int(n.sum())
     offset = np.cumsum(n) - n
     wanted = np.repeat(starts - offset, n) + np.arange(total)
     sa = two_stage_sort(data, wanted, width)
-    at = sa.tolist()
-    # adjacent common prefixes, up to width
-    same = np.fromiter((data[a : a + width] == data[b : b + width] for a, b in zip(at, at[1:])), bool, max(0, total - 1))
+    same = common_prefixes(data, sa, width) >= width
     flag = np.zeros(len(data), bool)
     flag[sa[:-1][same]] = True
     flag[sa[1:][same]] = True

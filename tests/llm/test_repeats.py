@@ -8,7 +8,7 @@ import pytest
 import flowlens.llm.repeats as module
 from flowlens.llm.anchors import runs
 from flowlens.llm.repeats import remove_repeats
-from flowlens.llm.suffixes import repeated_windows, two_stage_sort
+from flowlens.llm.suffixes import common_prefixes, repeated_windows, two_stage_sort
 
 
 def test_two_stage_sort():
@@ -87,3 +87,56 @@ def test_text_comes_back_and_empty_table(spark):
     assert remove_repeats(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         remove_repeats(docs, width=8)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_suffix_arrays_are_bounded(monkeypatch, whole):
+    """Contexts of one anchor that share a partition: blocks are cut wherever an array is full, anchors only behind their last context."""
+    sizes = []
+    monkeypatch.setattr(module, "SHARD_BYTES", 5_000)
+    monkeypatch.setattr(module, "repeated_windows", lambda b, m, width: sizes.append(sum(map(len, b))) or [np.zeros(len(s) - width + 1, bool) for s in b])
+    r = random.Random(8)
+    contexts = [bytes(r.choices(range(97, 123), k=r.randint(200, 368))) for _ in range(20 * 40)]
+    keys = [(1, k) for k in range(len(contexts))]
+    batch = module.pa.RecordBatch.from_arrays([module.pa.array([h for h, _ in keys]), module.pa.array([c for _, c in keys]), module.pa.array([1] * len(keys)), module.pa.array(contexts, module.pa.binary())], ["h", "c", "m", "bytes"])
+    out = list(module._sorted([batch, batch.slice(0, 0)], 200, whole=whole))
+    assert sum(len(x[0]) for x in out) == len(contexts)
+    assert (len(sizes) == 1) if whole else max(sizes) <= 5_000 + 368
+
+
+def test_blocks_compare_bytes(spark, monkeypatch):
+    """One hot anchor in many blocks, with a hash of windows that takes all for equal."""
+    monkeypatch.setattr(module, "GROUP", 4)
+    monkeypatch.setattr(module, "SHARD_BYTES", 600)
+    r = random.Random(9)
+    mid = "".join(r.choices("abcdefgh", k=40))
+    side = ["".join(r.choices("xyz", k=30)) for _ in range(6)]
+    texts = [(k, r.choice(side) + mid + r.choice(side)) for k in range(50)]
+    monkeypatch.setattr(module.xxhash, "xxh3_64_intdigest", lambda b, seed=0, f=module.xxhash.xxh3_64_intdigest: f(b, seed) if len(b) != 64 else 1 << 63)
+    got = sorted((tuple(x) for x in remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), width=64).collect()), key=repr)
+    assert got == brute(texts, 64)
+
+
+def test_contexts_that_share_a_hash(spark, monkeypatch):
+    """Equal hashes of different bytes are seen, and other hashes are tried."""
+    tried = []
+
+    def weak(docs, width, seed=0):
+        tried.append(seed)
+        out = find(docs, width, seed)
+        return out.withColumn("c", module.F.lit(7).cast("long")) if seed == 0 else out
+
+    find = module.find_anchors
+    monkeypatch.setattr(module, "find_anchors", weak)
+    data = rows(5)
+    got = sorted((tuple(x) for x in remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), width=40).collect()), key=repr)
+    assert got == brute(data, 40) and tried == [0, 1]
+
+
+def test_common_prefixes():
+    r = random.Random(10)
+    for width in (5, 8, 13, 200):
+        data = "".join(r.choices("ab", k=300)).encode() + b"ab" * 150 + bytes(width + 8)
+        order = np.array(sorted(range(600 - width), key=lambda p: data[p : p + width]))
+        slow = [next((k for k in range(width) if data[a + k] != data[b + k]), width) for a, b in zip(order, order[1:])]
+        assert common_prefixes(data, order, width).tolist() == slow
