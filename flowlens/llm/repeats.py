@@ -215,12 +215,14 @@ def _remove(docs: DataFrame, id_col: str, text_col: str, width: int, text_out: b
     per_text = again.groupBy("id", "th").agg(F.collect_set(at).alias("list"))  # bounded by the text's length
     same = rows["id"].eqNullSafe(per_text["id"]) & (rows["th"] == per_text["th"])
     cut_ = _contexts(rows.join(per_text, same).select("text", "list"), width)
-    contexts = cut_.groupBy("h", "c").agg(F.min("bytes").alias("bytes"), F.max("bytes").alias("last"), F.first("m").alias("m"), F.first("contexts").alias("contexts"))
-    clash = F.col("bytes") != F.col("last")
-    contexts = stage(contexts.select("h", "c", "m", "contexts", F.when((F.col("contexts") > 1) | clash, F.col("bytes")).alias("bytes"), clash.alias("clash")), "repeat-contexts")
-    over, clashes = contexts.agg(F.coalesce(F.max("contexts"), F.lit(0)) > GROUP, F.count_if("clash")).first()
-    if clashes:
+    # grouped by the bytes themselves; those of anchors with one context have been compared by then
+    contexts = cut_.groupBy("h", "c", "bytes").agg(F.first("m").alias("m"), F.first("contexts").alias("contexts"))
+    contexts = stage(contexts.select("h", "c", "m", "contexts", F.when(F.col("contexts") > 1, F.col("bytes")).alias("bytes")), "repeat-contexts")
+    free(spark)
+    several, different = contexts.agg(F.coalesce(F.max("contexts"), F.lit(0)), F.count(F.lit(1))).first()
+    if different != kept.count():
         raise _Clash
+    over = several > GROUP
     free(spark)
     small = contexts.where((F.col("contexts") > 1) & (F.col("contexts") <= GROUP)).select("h", "c", "m", "bytes")
     found = stage(_shards(small.repartition("h").sortWithinPartitions("h", "c"), width), "repeat-sorted")
