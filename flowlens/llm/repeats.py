@@ -17,7 +17,7 @@ from .common import attach, free, new_path, remove, ship, stage
 from .suffixes import repeated_windows
 
 #: Contexts of one anchor that are sorted in one task; larger groups are dealt out to blocks of about this many.
-GROUP = 512
+GROUP = 2_048
 #: Bytes of contexts in one suffix array.
 SHARD_BYTES = 1 << 20
 #: Bytes of texts whose anchors are found at once.
