@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _BLANKS = " \t\n\r\f\v  　"
@@ -46,3 +46,17 @@ def bucket_counts(value: Column, bins: Sequence[int], weight: Column | None = No
     weight = F.lit(1) if weight is None else weight
     at = bucket_of(value, bins)
     return [F.coalesce(F.sum(F.when(at == k, weight)), F.lit(0)).cast("long") for k in range(len(bins))]
+
+
+def register_functions(spark: SparkSession) -> None:
+    """The functions here under names in SQL, for this session: flow_strip, flow_safe_divide, flow_clamp, flow_sigmoid, flow_bucket (array of lower bounds)."""
+    blanks = "".join(f"\\u{ord(c):04x}" for c in _BLANKS)
+    made = {
+        "flow_strip(x STRING) RETURNS STRING": f"btrim(x, '{blanks}')",
+        "flow_safe_divide(a DOUBLE, b DOUBLE) RETURNS DOUBLE": "coalesce(try_divide(a, b), 0D)",
+        "flow_clamp(x DOUBLE, low DOUBLE, high DOUBLE) RETURNS DOUBLE": "greatest(least(x, high), low)",
+        "flow_sigmoid(x DOUBLE) RETURNS DOUBLE": "1D / (1D + exp(-x))",
+        "flow_bucket(x BIGINT, bins ARRAY<INT>) RETURNS INT": "size(filter(bins, b -> b <= x)) - 1",
+    }
+    for head, body in made.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

@@ -9,16 +9,20 @@ Times are integers (microseconds, or any unit), seq is the row order, and times
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import cached_property
+from collections.abc import Iterator
+from dataclasses import dataclass, fields, replace
+from functools import cached_property, reduce
 from itertools import count
+from operator import or_
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bucket_counts, bucket_of
-from .ordering import with_row_index
+from .ordering import running_max, running_sums, with_previous, with_row_index
+from .shared import stage
 
 #: The statistics in output order; the first three concern edges, the rest a value column each.
 STATISTICS = ("fan", "degree", "ratio", "mean", "sum", "min", "max", "median", "var", "skew", "kurtosis")
@@ -59,11 +63,8 @@ class FeatureConfig:
     value_columns: tuple[str, ...] = ()
     retention: int = -1
     max_edges: int = -1
-    extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self) -> None:
-        if self.extra:
-            raise ValueError(f"unknown parameters: {sorted(self.extra)}")
         if self.retention < -1 or self.max_edges == 0 or self.max_edges < -1:
             raise ValueError("retention is -1 or more, max_edges -1 or positive")
         if len(set(self.statistics)) != len(self.statistics) or set(self.statistics) - set(STATISTICS):
@@ -93,14 +94,84 @@ class FeatureConfig:
         return plain + [f"{s}_{v}" for v in self.value_columns for s in STATISTICS[3:] if s in self.statistics]
 
 
+def _presence(edges: DataFrame, keys: list[str], kind: str, window: int) -> DataFrame:
+    """edges' columns, time, change, starts: how the number of edges (degree) or of different neighbours (fan) within the last window changes in time.
+
+    An edge counts from its time on until window later; a neighbour's edges count as one as long as each comes
+    before the last has passed. Running sums of change replace sliding frames, so that busy accounts cost what their edges cost.
+    """
+    t = F.col("et")
+    up, down = F.lit(1), F.lit(-1)
+    if kind == "fan":
+        same = W.partitionBy(*keys, "nbr").orderBy("et")
+        edges = edges.withColumns({"__ahead": F.lag("et").over(same), "__next": F.lead("et").over(same)})
+        up = F.when(F.col("__ahead").isNull() | (t - F.col("__ahead") >= window), 1).otherwise(0)
+        down = F.when(F.col("__next").isNull() | (F.col("__next") - t >= window), -1).otherwise(0)
+    moves = F.array(F.struct(t.alias("time"), up.alias("change"), F.lit(True).alias("starts")), F.struct((t + window).alias("time"), down.alias("change"), F.lit(False).alias("starts")))
+    out = edges.withColumn("__m", F.explode(moves))
+    return out.withColumns({"time": F.col("__m.time"), "change": F.col("__m.change"), "starts": F.col("__m.starts")}).drop("__m", "__ahead", "__next")
+
+
+def _sizes(edges: DataFrame, keys: list[str], kind: str, window: int, wanted: str | Column) -> DataFrame:
+    """edges (keys, nbr, et, latest, ...) that are wanted, with size: how many edges or neighbours there are in the window up to their time, of those before latest if it is given."""
+    wanted = F.expr(wanted) if isinstance(wanted, str) else wanted
+    if window <= 0:
+        return edges.where(wanted).withColumn("size", F.lit(0))
+    moves = _presence(edges, keys, kind, window).where(F.col("starts") | F.col("latest").isNull() | (F.col("time") <= F.col("latest")))
+    running = W.partitionBy(*keys).orderBy("time").rangeBetween(W.unboundedPreceding, 0)
+    return moves.withColumn("size", F.sum("change").over(running)).where(F.col("starts") & wanted)
+
+
+def inserted_edges(graph: DataFrame, config: FeatureConfig) -> DataFrame:
+    """The rows of graph (edge_id, ..., t, seq) that enter it: those whose id is not in it then, as it was never there or has left again.
+
+    An edge leaves when a row that enters lies the retention or more behind it, or, with max_edges, when so many have
+    entered since. Of rows that share an id and what the graph's last entry ahead of them was, only the first can enter, which thins out
+    ids that very many rows share; the rest are walked through in order, one id behind another, without being gathered. What enters
+    changes what was the last entry ahead of others, so this is repeated until it settles, nearly always at once.
+    """
+    names = graph.columns
+    often = graph.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge_id")
+    graph = stage(graph.join(often.withColumn("again", F.lit(True)), "edge_id", "left"), "gfp-rows")
+    entered, known = graph.withColumn("enters", F.lit(True)), -1
+    keep, most = config.kept, config.max_edges
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_id = last_t = last_n = None
+        for batch in batches:
+            taken = []
+            for k, (i, t, ahead_t, ahead_n) in enumerate(zip(batch["edge_id"], batch["t"], batch["ahead_t"], batch["ahead_n"])):
+                gone = last_id != i or last_t <= ahead_t - keep or (most > 0 and ahead_n - last_n > most)
+                if gone:
+                    last_id, last_t, last_n = i, t, ahead_n
+                    taken.append(k)
+            yield batch.iloc[taken][["seq"]]
+
+    while True:
+        order = [F.col("seq")]
+        counted = running_sums(entered.withColumn("t_in", F.when(F.col("enters"), F.col("t"))), order, {"ahead_n": F.col("enters").cast("long")})
+        counted = running_max(counted, order, ["t_in"]).withColumn("ahead_n", F.col("ahead_n") - F.col("enters").cast("long"))
+        ahead = with_previous(counted, order, {"ahead_t": "t_in"}).where("again")
+        ahead = ahead.groupBy("edge_id", "ahead_t", "ahead_n" if most > 0 else F.lit(0).alias("one")).agg(F.min_by(F.struct("t", "seq", "ahead_n"), "seq").alias("x"))
+        ahead = ahead.select("edge_id", "ahead_t", "x.t", "x.seq", "x.ahead_n").na.fill(-(1 << 62), ["ahead_t"])
+        walked = ahead.repartition("edge_id").sortWithinPartitions("edge_id", "seq").mapInPandas(walk, "seq long")
+        now = stage(walked, "gfp-enter").withColumn("__in", F.lit(True))
+        entered = stage(graph.join(now, "seq", "left").withColumn("enters", F.col("again").isNull() | F.col("__in").isNotNull()).drop("__in"), "gfp-entered")
+        mark = entered.where("again AND enters").agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("seq"))).first()
+        if mark == known:
+            return entered.where("enters").select(*names)
+        known = mark
+
+
 class GraphFeatures:
     """Features of rows (edge_id, source, target, t, seq, value columns), given a history if there is one."""
 
     def __init__(self, config: FeatureConfig, rows: DataFrame, *, batch_size: int | None = None, history: DataFrame | None = None, rising: bool = False) -> None:
         """batch_size: rows of seq 0, 1, ... per batch; None puts all rows into one. history: rows of the same columns inserted before.
 
-        rising: times rise strictly. Batches of one row then see what lies behind them in time, so that fans,
-        degrees and statistics are frames over each account's edges instead of joins with every batch.
+        Ids, accounts and times that are null or not finite are refused. rising: times rise strictly. Batches of one row
+        then see what lies behind them in time, so that fans, degrees and statistics are frames over each account's edges
+        instead of joins with every batch.
         """
         self.config = config
         self.trailing = rising and batch_size == 1 and config.max_edges == -1 and config.kept > 0
@@ -111,23 +182,26 @@ class GraphFeatures:
             past = history.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first()[0]
             earlier = history.select("edge_id", "source", "target", "t", (F.col("seq") - F.lit(past + 1)).alias("seq"), F.lit(-1).cast("long").alias("b"), *config.value_columns)
             graph = earlier.unionByName(graph)
-        # an id that is already in the graph is not inserted again, though its row is described
-        first = graph.groupBy("edge_id").agg(F.min("seq").alias("seq"))
-        self.edges = graph.join(first, ["edge_id", "seq"], "left_semi")
+        floats = [c for c, kind in graph.select("edge_id", "source", "target", "t").dtypes if kind in ("float", "double")]
+        odd = reduce(or_, [F.col(c).isNull() for c in ("edge_id", "source", "target", "t")] + [F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in floats])
+        wrong, most = graph.groupBy("edge_id").agg(F.count_if(odd).alias("odd"), F.count(F.lit(1)).alias("n")).agg(F.sum("odd"), F.max("n")).first()
+        if wrong:
+            raise ValueError(f"{wrong} rows lack a finite id, account or time")
+        repeats = (most or 0) > 1
+        self.edges = inserted_edges(graph, config) if repeats else graph
         if config.max_edges > 0:
             self.edges = with_row_index(self.edges, [F.col("seq")], "at")
-        ends = self.edges.groupBy("b").agg(F.max("t").alias("latest"), F.max("at" if config.max_edges > 0 else "seq").alias("end"))
-        if history is not None or batch_size is not None:
-            # batches whose rows were all known before see what the last one saw
-            ends = self.rows.select("b").distinct().join(ends, "b", "full")
-            order = W.orderBy("b").rowsBetween(W.unboundedPreceding, 0)  # a row for each batch
-            ends = ends.select("b", F.max("latest").over(order).alias("latest"), F.max("end").over(order).alias("end"))
-        self.batches = ends.where("b >= 0")
+        at = "at" if config.max_edges > 0 else "seq"
+        self.batches = self.edges.where("b >= 0").groupBy("b").agg(F.max("t").alias("latest"), F.max(at).alias("end"))
+        if repeats:
+            # a batch whose rows were all in the graph sees what the last one saw
+            self.batches = self.edges.groupBy("b").agg(F.max("t").alias("latest"), F.max(at).alias("end")).join(self.rows.select("b").distinct(), "b", "full")
+            self.batches = running_max(self.batches, [F.col("b")], ["latest", "end"]).where("b >= 0")
 
     # ---- what a batch sees ----
 
-    def _see(self, asked: DataFrame, vertex: str, side: str, window: int | None = None) -> DataFrame:
-        """The visible edges at asked (b, vertex, ...): columns of asked, nbr, et, eseq, eb, values.
+    def _see(self, asked: DataFrame, vertex: str, side: str, window: int | None = None, other_end: str | None = None) -> DataFrame:
+        """The visible edges at asked (b, vertex, ...): columns of asked, nbr, et, eseq, eb, values; with other_end only those whose nbr is that column.
 
         side "out": edges that leave the vertex, "in": that enter it. window: only edges at latest - window or
         later. Time is cut into buckets of the retention, of which a batch looks into two, so that a
@@ -142,7 +216,8 @@ class GraphFeatures:
         look = asked.join(self.batches, "b")
         k = F.floor(F.col("latest") / keep).cast("long")
         look = look.withColumn("__k", F.explode(F.array(k - 1, k)))
-        seen = look.join(edges, (F.col(vertex) == F.col("__v")) & (look["__k"] == edges["__k"])).drop("__k", "__v")
+        on = (F.col(vertex) == F.col("__v")) & (look["__k"] == edges["__k"])
+        seen = look.join(edges, on & (F.col(other_end) == F.col("nbr")) if other_end else on).drop("__k", "__v")
         seen = seen.where((F.col("eb") <= F.col("b")) & (F.col("et") > F.col("latest") - F.lit(self.config.kept)))
         if self.config.max_edges > 0:
             seen = seen.where(F.col("eat") > F.col("end") - F.lit(self.config.max_edges))
@@ -161,25 +236,20 @@ class GraphFeatures:
         column, tw = ("target", pattern.window) if side == "in" else ("source", pattern.window)
         if self.trailing:
             return self._trailing_histogram(name, kind, column, pattern)
-        seen = self._see(self._touched(column), "v", side)
-        span = W.partitionBy("b", "v").orderBy("et")
-        back = span.rangeBetween(-(tw - 1), 0) if tw > 0 else None
-        if back is None:
-            seen = seen.withColumn("size", F.lit(0))
-        elif kind == "degree":
-            seen = seen.withColumn("size", F.count(F.lit(1)).over(back))
-        else:
-            seen = seen.withColumn("size", F.size(F.collect_set("nbr").over(back)))
-        ahead = span.rangeBetween(0, max(0, tw - 1))
+        seen = self._see(self._touched(column), "v", side).select("b", "v", "nbr", "et", "eb", "eid", "latest")
         at = bucket_of(F.col("size"), pattern.bins)
+        counted = _sizes(seen, ["b", "v"], kind, tw, "eb = b").select("b", "v", "et", at.alias("at"))
         names = [f"{name}_{k}" for k in range(len(pattern.bins))]
         # rows look ahead from their own time, which a repeated id need not share with its edge in the graph
         asks = self.rows.select("b", "seq", "edge_id", F.col(column).alias("v"), F.col("t").alias("et"))
         asks = asks.join(seen.select("b", "v", F.col("eid").alias("edge_id")), ["b", "v", "edge_id"], "left_semi")
-        counted = seen.where("eb = b").select("b", "v", "et", at.alias("at"), F.lit(None).cast("long").alias("seq"))
-        both = counted.unionByName(asks.select("b", "v", "et", F.lit(-1).alias("at"), "seq"))
-        sums = both.withColumns({n: F.sum(F.when(F.col("at") == k, 1).otherwise(0)).over(ahead) for k, n in enumerate(names)})
-        return sums.where("seq IS NOT NULL").select("seq", *names)
+        # what lies at t or later but not at t + window or later: two running sums from the end
+        probes = F.explode(F.array(F.struct(F.col("et").alias("time"), F.lit(1).alias("sign")), F.struct((F.col("et") + max(1, tw)).alias("time"), F.lit(-1).alias("sign"))))
+        asks = asks.select("b", "v", "seq", probes.alias("p")).select("b", "v", "seq", F.col("p.time").alias("et"), "p.sign")
+        both = counted.unionByName(asks, allowMissingColumns=True)
+        behind = W.partitionBy("b", "v").orderBy(F.desc("et")).rangeBetween(W.unboundedPreceding, 0)
+        sums = both.withColumns({n: F.coalesce(F.sum(F.when(F.col("at") == k, 1)).over(behind), F.lit(0)) for k, n in enumerate(names)})
+        return sums.where("seq IS NOT NULL").groupBy("seq").agg(*(F.sum(F.col(n) * F.col("sign")).alias(n) for n in names))
 
     def _in_buckets(self, rows: DataFrame, ahead: int) -> DataFrame:
         """rows (et) with __k, their bucket of the retention and the next ahead ones: a busy account's frames spread over its buckets."""
@@ -188,11 +258,10 @@ class GraphFeatures:
 
     def _trailing_histogram(self, name: str, kind: str, column: str, pattern: Pattern) -> DataFrame:
         other = "source" if column == "target" else "target"
-        reach = min(pattern.window, self.config.kept) - 1
+        reach = min(pattern.window, self.config.kept)
         edges = self._in_buckets(self.edges.select(F.col(column).alias("v"), F.col(other).alias("nbr"), F.col("t").alias("et"), "seq", "b"), 1)
-        span = W.partitionBy("v", "__k").orderBy("et").rangeBetween(-max(0, reach), 0)
-        size = F.lit(0) if reach < 0 else F.count(F.lit(1)).over(span) if kind == "degree" else F.size(F.collect_set("nbr").over(span))
-        sized = edges.withColumn("size", size).where((F.col("b") >= 0) & (F.col("__k") == F.floor(F.col("et") / max(1, self.config.kept))))
+        mine = (F.col("b") >= 0) & (F.col("__k") == F.floor(F.col("et") / max(1, self.config.kept)))
+        sized = _sizes(edges.withColumn("latest", F.lit(None).cast("long")), ["v", "__k"], kind, reach, mine)
         at = bucket_of(F.col("size"), pattern.bins)
         return sized.select("seq", *((at == k).cast("long").alias(f"{name}_{k}") for k in range(len(pattern.bins))))
 
@@ -204,17 +273,16 @@ class GraphFeatures:
         pattern = self.config.scatter_gather
         tw = pattern.window
 
-        def paths(first: str, side: str) -> DataFrame:
-            # two-step paths that start (side out) or end (side in) at a touched account
-            step = self._see(self._touched(first), "v", side, tw).select("b", F.col("v").alias("near"), F.col("nbr").alias("mid")).distinct()
-            more = self._see(step, "mid", side, tw).select("b", "near", "mid", F.col("nbr").alias("far")).distinct()
-            return more.groupBy("b", "near", "far").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-
         roles = []
         for near, other, side in (("source", "target", "out"), ("target", "source", "in")):
             ask = self.rows.select("b", "seq", F.col(near).alias("near"), F.col(other).alias("other"))
             around = self._see(ask, "other", side, tw).select("b", "seq", "near", F.col("nbr").alias("far")).where("far != near").distinct()
-            roles.append(around.join(paths(near, side), ["b", "near", "far"]).select("seq", "n"))
+            # only pairs that rows ask for, and of the middle's edges only those to them, so that no busy account's paths are listed
+            step = self._see(self._touched(near), "v", side, tw).select("b", F.col("v").alias("near"), F.col("nbr").alias("mid")).distinct()
+            pairs = around.select("b", "near", "far").distinct().join(step, ["b", "near"])
+            links = self._see(pairs.select("b", "mid", "far").distinct(), "mid", side, tw, "far").select("b", "mid", "far").distinct()
+            sizes = pairs.join(links, ["b", "mid", "far"], "left_semi").groupBy("b", "near", "far").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+            roles.append(around.join(sizes, ["b", "near", "far"]).select("seq", "n"))
         sizes = roles[0].unionByName(roles[1])
         return sizes.groupBy("seq").agg(*(c.alias(f"scatter_gather_{k}") for k, c in enumerate(bucket_counts(F.col("n"), pattern.bins))))
 
@@ -254,31 +322,59 @@ class GraphFeatures:
 
     # ---- statistics ----
 
-    def statistics(self, end: str, side: str) -> DataFrame:
-        """seq and the statistics of the visible edges at the row's end on a side, from t - statistics_window on."""
+    def statistics(self) -> DataFrame:
+        """seq and the statistics of the visible edges at both of the row's ends on both sides, from t - statistics_window on.
+
+        Both ends ask the edges of a side at once. From the last edge back a frame only grows, so that counts, sums, powers and
+        extremes run along; a neighbour counts where it is met first.
+        """
         config, tw = self.config, self.config.statistics_window
-        mine, other = ("source", "target") if side == "out" else ("target", "source")
-        if self.trailing:
-            edges = self._in_buckets(self.edges.select(F.col(mine).alias("v"), F.col(other).alias("nbr"), F.col("t").alias("et"), *config.value_columns), 1)
-            asks = self._in_buckets(self.rows.select(F.col(end).alias("v"), F.col("t").alias("et"), "seq"), 0)
-            span = W.partitionBy("v", "__k").orderBy("et").rangeBetween(-min(tw, config.kept - 1), 0)
-        else:
-            # each account's visible edges once a batch; from the last one back, a frame holds what is not older than a row's bound
-            edges = self._see(self._touched(end), "v", side).select("b", "v", "nbr", "et", *config.value_columns)
-            asks = self.rows.select("b", F.col(end).alias("v"), (F.col("t") - F.lit(tw)).alias("et"), "seq")
+        ends = F.explode(F.array(*(F.struct(F.lit(e).alias("end"), F.col(e).alias("v")) for e in ("source", "target"))))
+        sides = []
+        for side, mine, other in (("out", "source", "target"), ("in", "target", "source")):
+            if self.trailing:
+                edges = self._in_buckets(self.edges.select(F.col(mine).alias("v"), F.col(other).alias("nbr"), F.col("t").alias("et"), *config.value_columns), 1)
+                asks = self.rows.select("seq", F.col("t").alias("et"), ends.alias("e")).select("seq", "et", "e.end", "e.v")
+                sides.append(self._trailing_statistics(edges, self._in_buckets(asks, 0), min(tw, config.kept - 1)).withColumn("side", F.lit(side)))
+                continue
+            asks = self.rows.select("b", "seq", (F.col("t") - F.lit(tw)).alias("et"), ends.alias("e")).select("b", "seq", "et", "e.end", "e.v")
+            edges = self._see(asks.select("b", "v").distinct(), "v", side).select("b", "v", "nbr", "et", *config.value_columns)
+            if {"fan", "ratio"} & set(config.statistics):
+                first = F.row_number().over(W.partitionBy("b", "v", "nbr").orderBy(F.desc("et"))) == 1
+                edges = edges.withColumn("fresh", first.cast("int"))
+            both = edges.unionByName(asks, allowMissingColumns=True)
             span = W.partitionBy("b", "v").orderBy(F.desc("et")).rangeBetween(W.unboundedPreceding, 0)
-        both = edges.withColumn("seq", F.lit(None).cast("long")).unionByName(asks, allowMissingColumns=True)
-        fan, degree = F.size(F.collect_set("nbr").over(span)), F.count("nbr").over(span)
+            fan = F.sum("fresh").over(span) if "fresh" in edges.columns else F.lit(0)
+            sides.append(both.withColumns(self._described(fan, span)).where("seq IS NOT NULL").withColumn("side", F.lit(side)))
+        names = config._statistic_names()
+        every = sides[0].select("seq", "end", "side", *names).unionByName(sides[1].select("seq", "end", "side", *names))
+        at = lambda e, s: (F.col("end") == e) & (F.col("side") == s)
+        return every.groupBy("seq").agg(*(F.max(F.when(at(e, s), F.col(n))).alias(f"{e}_{s}_{n}") for e, s in (("source", "out"), ("source", "in"), ("target", "out"), ("target", "in")) for n in names))
+
+    def _trailing_statistics(self, edges: DataFrame, asks: DataFrame, reach: int) -> DataFrame:
+        span = W.partitionBy("v", "__k").orderBy("et").rangeBetween(-reach, 0)
+        fan = F.lit(0)
+        if {"fan", "ratio"} & set(self.config.statistics):
+            # a neighbour is present from its edge until the window has passed its last one
+            spans = _presence(edges, ["v", "__k"], "fan", reach + 1)
+            edges = edges.unionByName(spans.select("v", "__k", F.col("time").alias("et"), "change"), allowMissingColumns=True)
+            fan = F.coalesce(F.sum("change").over(W.partitionBy("v", "__k").orderBy("et").rangeBetween(W.unboundedPreceding, 0)), F.lit(0))
+        both = edges.unionByName(asks, allowMissingColumns=True)
+        return both.withColumns(self._described(fan, span)).where("seq IS NOT NULL")
+
+    def _described(self, fan: Column, span: WindowSpec) -> dict[str, Column]:
+        config = self.config
+        degree = F.count("nbr").over(span)
         plain = {"fan": fan.cast("long"), "degree": degree, "ratio": degree / F.nullif(fan, F.lit(0))}
-        out = {f"{end}_{side}_{s}": plain[s] for s in STATISTICS[:3] if s in config.statistics}
+        out = {s: plain[s] for s in STATISTICS[:3] if s in config.statistics}
         for v in config.value_columns:
             x = F.col(v).cast("double")
             made = {
                 "mean": F.avg(x).over(span), "sum": F.sum(x).over(span), "min": F.min(x).over(span), "max": F.max(x).over(span), "median": F.percentile(x, 0.5).over(span), "var": F.var_pop(x).over(span),
                 "skew": F.coalesce(F.skewness(x).over(span), F.lit(0.0)), "kurtosis": F.coalesce(F.kurtosis(x).over(span) + 3, F.lit(0.0)),
             }
-            out |= {f"{end}_{side}_{s}_{v}": made[s] for s in STATISTICS[3:] if s in config.statistics}
-        return both.withColumns(out).where("seq IS NOT NULL").select("seq", *out)
+            out |= {f"{s}_{v}": made[s] for s in STATISTICS[3:] if s in config.statistics}
+        return out
 
     def all(self) -> DataFrame:
         """Every row with all features of the configuration, 0 where a pattern is absent."""
@@ -293,12 +389,44 @@ class GraphFeatures:
             if getattr(config, n):
                 out = out.join(self.cycles(n), "seq", "left")
         if config.statistics:
-            for end, side in (("source", "out"), ("source", "in"), ("target", "out"), ("target", "in")):
-                out = out.join(self.statistics(end, side), "seq", "left")
+            out = out.join(self.statistics(), "seq", "left")
         names = config.columns()
         return out.na.fill(0, names).select(*self.rows.drop("b").columns, *names)
 
 
+@dataclass(frozen=True)
+class FittedFeatures:
+    """A configuration and what has been inserted so far. Each step gives a new object; the tables stay lazy."""
+
+    config: FeatureConfig
+    history: DataFrame | None = None
+
+    def with_config(self, **changes) -> FittedFeatures:
+        """Other parameters; what was inserted is forgotten. Unknown names are errors."""
+        unknown = set(changes) - {f.name for f in fields(FeatureConfig)}
+        if unknown:
+            raise KeyError(f"unknown parameters: {sorted(unknown)}")
+        return FittedFeatures(replace(self.config, **changes))
+
+    def fit(self, rows: DataFrame) -> FittedFeatures:
+        """Only these rows inserted."""
+        return FittedFeatures(self.config, rows)
+
+    def partial_fit(self, rows: DataFrame) -> FittedFeatures:
+        """These rows inserted behind what is there, whose seq they need not continue."""
+        if self.history is None:
+            return self.fit(rows)
+        last, first = self.history.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0], rows.agg(F.coalesce(F.min("seq"), F.lit(0))).first()[0]
+        return FittedFeatures(self.config, self.history.unionByName(rows.withColumn("seq", F.col("seq") + F.lit(last + 1 - first)), allowMissingColumns=True))
+
+    def transform(self, rows: DataFrame, *, batch_size: int | None = None) -> DataFrame:
+        """rows with their features, inserted batch by batch behind what is there."""
+        return graph_features(self.config, rows, batch_size=batch_size, history=self.history)
+
+    def transform_causal(self, rows: DataFrame) -> DataFrame:
+        return causal_features(self.config, rows, history=self.history)
+
+
 def graph_features(config: FeatureConfig, rows: DataFrame, *, batch_size: int | None = None, history: DataFrame | None = None, rising: bool = False) -> DataFrame:
     return GraphFeatures(config, rows, batch_size=batch_size, history=history, rising=rising).all()
 

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import logical_time, parse_timestamp, strip_string, time_us, timestamp_value
-from .schema import RESERVED, find_column, quoted, repair_ids, row_numbered
+from ..functions import logical_time, strip_string, time_us, timestamp_value
+from .ordering import with_previous, with_row_index
+from .schema import RESERVED, day_and_clock, find_column, quoted, row_numbered, with_unique_ids
 
 
 @dataclass(frozen=True)
@@ -39,8 +39,8 @@ class EventStream:
     events: DataFrame
 
 
-def _prepare(df: DataFrame, order_by: Sequence[str] | None, timed: bool, names: dict[str, str | None]) -> DataFrame:
-    """Rows with both endpoints: transaction_id made unique, source and target stripped, timestamp if timed, the row's position."""
+def _prepare(df: DataFrame, order_by: Sequence[str] | None, timed: bool, names: dict[str, str | None], numbered: bool = False) -> DataFrame:
+    """Rows with both endpoints: transaction_id made unique, source and target stripped, timestamp if timed; RESERVED, the row's position, if numbered."""
     if RESERVED in df.columns:
         raise ValueError(f"column {RESERVED!r} is reserved")
     found = {f: find_column(df.columns, names.get(f), "graph source" if f == "source" else f, missing="none") for f in ("source", "target", "transaction_id")}
@@ -49,26 +49,27 @@ def _prepare(df: DataFrame, order_by: Sequence[str] | None, timed: bool, names:
     when = _graph_time(df, names.get("timestamp")) if timed else None
     if timed and when is None:
         raise ValueError("a graph in time needs a timestamp column")
-    rows = row_numbered(df, order_by)
     given = quoted(found["transaction_id"]).cast("string") if found["transaction_id"] else F.lit(None).cast("string")
-    ends = {f: strip_string(quoted(found[f])) for f in ("source", "target")}
-    rows = repair_ids(rows.withColumns({**ends, "transaction_id": given, **({"timestamp": when} if timed else {})}), like=df.select(given.alias("transaction_id")))
+    made = {f: strip_string(quoted(found[f])) for f in ("source", "target")} | {"transaction_id": given} | ({"timestamp": when} if timed else {})
+    if order_by and set(order_by) & set(made):  # rows are in the order of the columns as they are given
+        first = {c: f"__by_{k}" for k, c in enumerate(order_by)}
+        df, order_by = df.withColumns({n: quoted(c) for c, n in first.items()}), list(first.values())
+    rows = with_unique_ids(df.withColumns(made), order_by=order_by, numbered=numbered)
+    rows = rows.drop(*(c for c in rows.columns if c.startswith("__by_"))) if order_by else rows
     rows = rows.where((F.length("source") > 0) & (F.length("target") > 0))
     return rows.where("timestamp IS NOT NULL") if timed else rows
 
 
 def _graph_time(df: DataFrame, asked: str | None) -> Column | None:
+    """A time from the column asked for or found by its name; text beside a date and a time column is read from these two."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    found = find_column(df.columns, asked, "timestamp", missing="none")
-    if found is None:
+    name = find_column(df.columns, asked, "timestamp", missing="none")
+    if name is None:
         return None
-    value = timestamp_value(quoted(found), kinds[found])
-    day = find_column(df.columns, "date", "timestamp", missing="none")
-    clock = find_column(df.columns, "time", "timestamp", missing="none")
-    if asked is None and day and clock and isinstance(kinds[found], T.StringType):
-        date_text = F.regexp_replace(quoted(day).cast("string"), "[T ].*$", "")
-        value = F.coalesce(parse_timestamp(quoted(clock).cast("string")), parse_timestamp(F.concat(date_text, F.lit(" "), quoted(clock).cast("string"))), parse_timestamp(quoted(day).cast("string")))
-    return value
+    halves = [find_column(df.columns, half, "timestamp", missing="none") for half in ("date", "time")]
+    if asked is None and all(halves) and isinstance(kinds[name], T.StringType):
+        return day_and_clock(*(quoted(h).cast("string") for h in halves))
+    return timestamp_value(quoted(name), kinds[name])
 
 
 def account_nodes(edges: DataFrame) -> DataFrame:
@@ -129,6 +130,13 @@ def transaction_graph(df: DataFrame, delta: timedelta, *, order_by: Sequence[str
     return TransactionGraph(nodes.drop(RESERVED), edges)
 
 
+def graph_sizes(graph: AccountGraph | TransactionGraph | EventStream) -> DataFrame:
+    """One row: num_nodes, num_edges (of an event stream num_events), and num_target_nodes where nodes tell targets."""
+    links, name = (graph.events, "num_events") if isinstance(graph, EventStream) else (graph.edges, "num_edges")
+    targets = [F.count_if("is_target").alias("num_target_nodes")] if "is_target" in graph.nodes.columns else []
+    return graph.nodes.agg(F.count(F.lit(1)).alias("num_nodes"), *targets).crossJoin(links.agg(F.count(F.lit(1)).alias(name)))  # a row each
+
+
 def unknown_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The ids that edges name and nodes lack."""
     ends = [edges.select(F.col(c).alias("transaction_id")) for c in ("source_transaction_id", "target_transaction_id")]
@@ -165,22 +173,13 @@ def precomputed_graph(nodes: DataFrame, edges: DataFrame, *, node_id: str, edge_
 
 
 def event_stream(df: DataFrame, *, order_by: Sequence[str] | None = None, **names: str | None) -> EventStream:
-    """Transfers with seq, their place by time, equal times by their order in the input."""
-    from .ordering import with_row_index
-
-    rows = _prepare(df, order_by, True, names).withColumn("t_us", time_us(F.col("timestamp")))
-    like = df.select(time_us(_graph_time(df, names.get("timestamp"))).alias("t_us"))
-    return EventStream(account_nodes(rows), with_row_index(rows, [F.col("t_us"), F.col(RESERVED)], "seq", like=like).drop(RESERVED))
+    """Transfers with seq, their place by time, equal times by their order in the input (order_by, where it is given)."""
+    rows = _prepare(df, order_by, True, names, numbered=True).withColumn("t_us", time_us(F.col("timestamp")))
+    return EventStream(account_nodes(rows), with_row_index(rows, [F.col("t_us"), F.col(RESERVED)], "seq").drop(RESERVED))
 
 
 def out_of_order(events: DataFrame, time_col: str = "t_us", order_col: str = "seq", strict: bool = False) -> DataFrame:
     """Rows whose time is before (strict: not after) that of the row ahead of them in order_col."""
-    from .ordering import with_range
-
-    dealt = with_range(events, F.col(order_col))
-    last = F.lag(time_col).over(W.partitionBy("__range").orderBy(order_col))
-    edges = dealt.groupBy("__range").agg(F.max_by(time_col, order_col).alias("__end")).select((F.col("__range")).alias("__r"), "__end")
-    before = edges.select(F.lead("__r").over(W.orderBy("__r")).alias("__range"), "__end").where("__range IS NOT NULL")  # a row for each range
-    rows = dealt.withColumn("__last", last).join(F.broadcast(before), "__range", "left").withColumn("__last", F.coalesce("__last", "__end"))
+    rows = with_previous(events, [F.col(order_col)], {"__last": time_col})
     wrong = F.col(time_col) <= F.col("__last") if strict else F.col(time_col) < F.col("__last")
-    return rows.where(wrong).drop("__range", "__last", "__end")
+    return rows.where(wrong).drop("__last")

@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import bounds
+from .windows import bounds, transaction_snapshots
 
 
 def split_of(time: Column, train_end: int, validation_end: int) -> Column:
@@ -25,6 +25,23 @@ def induced_split(nodes: DataFrame, edges: DataFrame, *, train_end: int, validat
     return parts, edges.join(a, "source_transaction_id").join(b, ["target_transaction_id", "split"], "left_semi")
 
 
+def split_snapshots(nodes: DataFrame, edges: DataFrame, part: str, *, train_end: int, validation_end: int, test_end: int | None = None, bin_us: int, stride_us: int, context_us: int = 0, drop_last: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the snapshots of one part: train, validation or test, the targets of which lie in that part.
+
+    Training snapshots know nothing but the training part's own graph; those of the later parts take the context
+    before their windows from the whole graph, as it is known by then.
+    """
+    spans = {"train": (None, train_end), "validation": (train_end, validation_end), "test": (validation_end, test_end)}
+    if part not in spans:
+        raise ValueError(f"a part is one of {sorted(spans)}")
+    if train_end >= validation_end or (test_end is not None and test_end <= validation_end):
+        raise ValueError("train_end, validation_end and test_end rise")
+    if part == "train":
+        nodes, edges = (x.where(F.col("split") == part).drop("split") for x in induced_split(nodes, edges, train_end=train_end, validation_end=validation_end))
+    start, end = spans[part]
+    return transaction_snapshots(nodes, edges, bin_us=bin_us, stride_us=stride_us, context_us=context_us, start_us=start, end_us=end, drop_last=drop_last)
+
+
 def node_masks(nodes: DataFrame, *, train_end: int, validation_end: int, time_col: str = "t_us") -> DataFrame:
     """nodes with train_mask, validation_mask, test_mask, of which each row has one; the graph stays whole."""
     part = split_of(F.col(time_col), train_end, validation_end)

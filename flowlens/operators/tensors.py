@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graphs import account_nodes
 from .ordering import with_row_index
 from .schema import quoted
 
@@ -39,18 +40,19 @@ def time_ns(time_us: Column) -> Column:
     return time_us * F.lit(1000)
 
 
+def duration(us: Column) -> Column:
+    """Microseconds as an interval of days to seconds."""
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (us.cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
+
+
 def node_index(nodes: DataFrame, order_by: Sequence[Column], id_col: str = "node_id", name: str = "node_index") -> DataFrame:
     """nodes with a contiguous index from 0 in the order of order_by."""
     return with_row_index(nodes, list(order_by), name)
 
 
 def account_dictionary(edges: DataFrame, name: str = "code") -> DataFrame:
-    """node_id, code: every endpoint once, codes from 0 in the order of a 64-bit hash (the id breaks ties).
-
-    The order by hash spreads evenly over tasks whatever the ids look like.
-    """
-    ends = edges.select(F.col("source").alias("node_id")).unionByName(edges.select(F.col("target").alias("node_id"))).distinct()
-    return with_row_index(ends.withColumn("__h", F.xxhash64("node_id")), [F.col("__h"), F.col("node_id")], name).drop("__h")
+    """node_id, code: every endpoint once, codes from 0 in the order of the ids."""
+    return node_index(account_nodes(edges), [F.col("node_id")], name=name)
 
 
 def encode_edges(edges: DataFrame, index: DataFrame, *, source: str, target: str, id_col: str, name: str, validate: bool = False) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import with_row_index
+
 
 def _check(bin_us: int, stride_us: int) -> None:
     if bin_us <= 0 or stride_us <= 0:
@@ -88,6 +90,23 @@ def static_windows(rows: DataFrame, *, window_us: int, lookback_us: int = 0, dro
     return numbered(tagged, name="window_id").withColumn("window_id", F.col("window_id") - 1)
 
 
+def static_edge_windows(edges: DataFrame, *, window_us: int, lookback_us: int = 0, drop_last: bool = False, source: str = "source_index", target: str = "target_index", time_col: str = "t_us") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of an account graph's disjoint windows: each window's transfers, and the accounts that they touch under numbers of its own.
+
+    edges: tagged with window_id and is_target, and local_source and local_target, the ends' numbers in the window.
+    nodes: window_id, n_id (an account's index in the whole graph), local_index from 0 by n_id. Numbers are positions in
+    one order by window and account less the window's first, so that a large window is no single task.
+    """
+    tagged = static_windows(edges, window_us=window_us, lookback_us=lookback_us, drop_last=drop_last, time_col=time_col)
+    ends = [tagged.select("window_id", F.col(c).alias("n_id")) for c in (source, target)]
+    placed = with_row_index(ends[0].unionByName(ends[1]).distinct(), [F.col("window_id"), F.col("n_id")], "__at")
+    first = placed.groupBy("window_id").agg(F.min("__at").alias("__first"))
+    nodes = placed.join(first, "window_id").select("window_id", "n_id", (F.col("__at") - F.col("__first")).alias("local_index"))
+    a = nodes.select("window_id", F.col("n_id").alias(source), F.col("local_index").alias("local_source"))
+    b = nodes.select("window_id", F.col("n_id").alias(target), F.col("local_index").alias("local_target"))
+    return nodes, tagged.join(a, ["window_id", source]).join(b, ["window_id", target])
+
+
 def context_windows(snapshots: DataFrame, *, context: int, index_col: str = "snapshot_index") -> DataFrame:
     """target_index, position, context_index: the context snapshots right before each target, oldest at position 0.
 

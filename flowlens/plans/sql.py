@@ -56,17 +56,18 @@ def bins_of(value: str, bins: tuple[int, ...], name: str, weight: str = "1") ->
     return ", ".join(out)
 
 
-def histogram(name: str, tw: int, size: int | None = 512, keep: int = DAY, bins: tuple[int, ...] = BINS) -> str:
+def histogram(name: str, tw: int, size: int | None = 512, keep: int = DAY, bins: tuple[int, ...] = BINS, rows: list[str] | None = None) -> str:
+    """rows: CTEs in place of batches(), for graphs with a history (b < 0) or repeated ids."""
     kind, side = name.split("_")
     mine, nbr = ("v", "u") if side == "in" else ("u", "v")
     count = f"count(DISTINCT {nbr})" if kind == "fan" else "count(*)"
-    parts = batches(size, keep) + [
+    parts = (rows or batches(size, keep)) + [
         f"sized AS (SELECT b, eb, eid, {mine} AS vx, t, {count} OVER (PARTITION BY b, {mine} ORDER BY t RANGE BETWEEN {tw - 1} PRECEDING AND CURRENT ROW) AS n FROM vis)",
-        f"hit AS (SELECT r.seq, s.n FROM r JOIN vis me ON me.b = r.b AND me.eid = r.eid JOIN sized s ON s.b = r.b AND s.eb = s.b AND s.vx = r.{mine} AND s.t >= r.t AND s.t - r.t < {tw})",
+        f"hit AS (SELECT r.seq, s.n FROM r JOIN vis me ON me.b = r.b AND me.eid = r.eid AND me.{mine} = r.{mine} JOIN sized s ON s.b = r.b AND s.eb = s.b AND s.vx = r.{mine} AND s.t >= r.t AND s.t - r.t < {tw})",
         f"{name}_h AS (SELECT seq, {bins_of('n', bins, name)} FROM hit GROUP BY seq)",
     ]
     names = ", ".join(f"coalesce({name}_{k}, 0) AS {name}_{k}" for k in range(len(bins)))
-    return with_(*parts) + f"SELECT r.seq, {names} FROM r LEFT JOIN {name}_h USING (seq)"
+    return with_(*parts) + f"SELECT r.seq, {names} FROM r LEFT JOIN {name}_h USING (seq) WHERE b >= 0"
 
 
 def _statistics(stats: tuple[str, ...], window: int) -> list[str]:
@@ -182,7 +183,7 @@ FROM (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey
     "edge_index": with_(EVENTS, _INDEX) + "SELECT seq, a.k AS source_index, b.k AS target_index FROM ev JOIN ix a ON a.node_id = source JOIN ix b ON b.node_id = target",
     "edge_times": with_(EVENTS, successors("e", "ev", US_4H)) + "SELECT source_transaction_id, target_transaction_id, edge_us * 1000 AS edge_time FROM e",
     "temporal_table": with_(EVENTS, _INDEX) + "SELECT seq, a.k AS src, b.k AS dst, t_us * 1000 AS t, round(CAST(CAST(amount AS FLOAT) AS DOUBLE), 3) AS m0, CAST(label AS DOUBLE) AS m1, label AS y FROM ev JOIN ix a ON a.node_id = source JOIN ix b ON b.node_id = target",
-    "account_dictionary": with_(ITEMS) + "SELECT count(*) AS n, 0::BIGINT AS low, count(*) - 1 AS high, count(*) AS codes FROM (SELECT source FROM it UNION SELECT target FROM it)",
+    "account_dictionary": with_(ITEMS) + "SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS code FROM (SELECT source AS node_id FROM it UNION SELECT target FROM it)",
     "account_snapshots_daily": with_(EVENTS, *snapshots("ev", DAY, DAY, True)) + _SIZES,
     "account_snapshots_sliding": with_(EVENTS, *snapshots("ev", 3 * DAY, 2 * DAY, False)) + _SIZES,
     "account_snapshot_rows": with_(EVENTS, *snapshots("ev", 2 * DAY, DAY, True)) + "SELECT snapshot_index, transaction_id FROM snap",
@@ -220,6 +221,7 @@ FROM (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey
     ) + "SELECT window_id, seed_id, 1 AS hop, seed_id AS frontier_id, source_transaction_id AS context_id, c.t_us AS context_us FROM sd JOIN e ON e.target_transaction_id = seed_id JOIN ev c ON c.transaction_id = source_transaction_id WHERE c.t_us < seed_us AND c.t_us >= floor QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY c.t_us DESC, source_transaction_id DESC) <= 3",
     "causal_event_neighbors": with_(EVENTS, event_hops(4), "f2 AS (SELECT DISTINCT target_id, target_us, nxt AS account FROM h1)", "h2 AS (SELECT target_id, account, x.seq AS event_id, x.t_us AS event_us FROM f2 JOIN ev x ON x.target = account AND x.t_us < target_us QUALIFY row_number() OVER (PARTITION BY target_id, account ORDER BY x.t_us DESC, x.seq DESC) <= 2)")
     + "SELECT target_id, 1 AS hop, account, event_id, event_us FROM h1 UNION ALL SELECT target_id, 2, account, event_id, event_us FROM h2",
+    "uniform_neighbors": with_(EVENTS, successors("e", "ev", DAY)) + "SELECT s.transaction_id AS seed_id, 1 AS hop, s.transaction_id AS frontier_id, source_transaction_id AS context_id, c.t_us AS context_us FROM ev s JOIN e ON e.target_transaction_id = s.transaction_id JOIN ev c ON c.transaction_id = source_transaction_id WHERE s.label = 1 AND c.t_us < s.t_us QUALIFY row_number() OVER (PARTITION BY s.transaction_id ORDER BY md5('7|' || s.transaction_id || '|' || s.transaction_id || '|' || source_transaction_id), source_transaction_id) <= 3",
     "recent_neighbors": with_(EVENTS) + "SELECT * FROM (SELECT account, neighbor, event_id, event_us, row_number() OVER (PARTITION BY account ORDER BY event_us DESC, event_id DESC, neighbor DESC) AS rank FROM (SELECT source AS account, target AS neighbor, seq AS event_id, t_us AS event_us FROM ev UNION ALL SELECT target, source, seq, t_us FROM ev)) WHERE rank <= 5",
     "timestamp_groups": with_(ITEMS) + "SELECT row_number() OVER (ORDER BY t_us) - 1 AS group_id, t_us, count(*) AS n, true AS pure FROM it GROUP BY t_us",
     "mean_messages": with_(EVENTS, event_hops(4)) + "SELECT target_id, round(avg(ln(1 + abs(amount))), 6) AS mean_message FROM h1 JOIN ev ON ev.seq = event_id GROUP BY target_id",

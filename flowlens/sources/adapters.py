@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import logical_time
 from ..operators.graphs import TransactionGraph, precomputed_graph
 from ..operators.schema import canonicalise, clean, quoted
-from .files import extract_zip, find_file, find_tabular
+from .files import archives, exists, extract_zip, find_file, find_tabular
 from .readers import read_csv, read_lines, read_table
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -25,15 +25,14 @@ class Adapter:
     """A data set below root; archives there are unpacked once."""
 
     spark: SparkSession
-    root: Path
+    root: str | Path
     variant: str = "hi-small"
 
-    def _unpacked(self) -> Path:
-        for archive in sorted(Path(self.root).glob("*.zip")):
-            target = Path(self.root) / archive.stem
-            if not target.exists():
-                extract_zip(archive, target)
-        return Path(self.root)
+    def _unpacked(self) -> str | Path:
+        for archive in archives(self.root):
+            if not exists(archive.removesuffix(".zip")):
+                extract_zip(archive, archive.removesuffix(".zip"))
+        return self.root
 
     def transactions(self) -> DataFrame:
         raise NotImplementedError(f"{type(self).__name__} has a graph, not transfers")
@@ -42,7 +41,7 @@ class Adapter:
 class BankTransfers(Adapter):
     """Transfers with two columns named Account, accounts and patterns, in six variants."""
 
-    def _name(self, kind: str) -> Path:
+    def _name(self, kind: str) -> str:
         names = {v.lower(): v for v in BANK_VARIANTS}
         if self.variant.lower() not in names:
             raise ValueError(f"variant is one of {sorted(names)}")
@@ -139,4 +138,4 @@ def load_dataset(spark: SparkSession, name: str, root: str | Path, variant: str
     kind = resolve_adapter(name)
     if variant is not None and kind is not BankTransfers:
         raise ValueError(f"{name} has no variants")
-    return kind(spark, Path(root), *([variant] if variant else []))
+    return kind(spark, root, *([variant] if variant else []))

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_csv(spark: SparkSession, path: str, *, schema: str | None = None, quote: str = '"', header: bool = True, rename: dict[int, str] | None = None) -> DataFrame:
-    """A CSV file or folder; rename: names of columns by position, for files without a header."""
-    reader = spark.read.option("header", header).option("quote", quote).option("inferSchema", schema is None)
+    """A CSV file or folder; rename: names of columns by position, for files without a header.
+
+    Only whole times are taken for times when types are inferred: a clock alone stays text, and gets no date of today.
+    """
+    reader = spark.read.option("header", header).option("quote", quote).option("inferSchema", schema is None).option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
     df = (reader.schema(schema) if schema else reader).csv(str(path))
     return df.withColumnsRenamed({df.columns[k]: n for k, n in (rename or {}).items()})
 

@@ -65,7 +65,7 @@ def test_repair_ids(spark):
 def test_row_index_and_running_sums(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit(1).alias("one"))
     assert {(r.k, r.row_index) for r in with_row_index(df, [F.col("k")]).collect()} == {(k, k) for k in range(1000)}
-    sums = running_sums(df, -F.col("k"), [F.desc("k")], {"c": F.col("one")}).collect()
+    sums = running_sums(df, [F.desc("k")], {"c": F.col("one")}).collect()
     assert {(r.k, r.c) for r in sums} == {(k, 1000 - k) for k in range(1000)}
     assert with_row_index(df.limit(0), [F.col("k")]).count() == 0
 

@@ -7,6 +7,7 @@ from flowlens.streaming import ordered_or_late, recent_neighbors_stream, rolling
 
 SCHEMA = "transaction_id string, source string, target string, timestamp timestamp, amount double"
 T0 = datetime(2025, 1, 1)
+KEYS = ["window_start", "window_end", "account"]
 ROWS = [("t1", "A", "B", 0, 1.0), ("t2", "A", "C", 10, 2.0), ("t3", "B", "A", 70, 4.0), ("t4", "A", "B", 75, 8.0), ("t5", "A", "D", 75, 16.0)]
 
 
@@ -18,9 +19,9 @@ def stream(spark, tmp_path):
 
 
 def test_windowed_flows(stream):
-    got = {(r.window_start.hour, r.account): (r.n_out, r.n_in, r.amount_out, r.amount_in) for r in drain(windowed_flows(stream, window="1 hour"), "complete").collect()}
+    got = {(r.window_start.hour, r.account): (r.n_out, r.n_in, r.amount_out, r.amount_in) for r in drain(windowed_flows(stream, window="1 hour"), KEYS).collect()}
     assert got == {(0, "A"): (2, 0, 3.0, 0.0), (0, "B"): (0, 1, 0.0, 1.0), (0, "C"): (0, 1, 0.0, 2.0), (1, "A"): (2, 1, 24.0, 4.0), (1, "B"): (1, 1, 4.0, 8.0), (1, "D"): (0, 1, 0.0, 16.0)}
-    assert drain(windowed_flows(stream, window="1 hour", slide="30 minutes"), "complete").count() > len(got)
+    assert drain(windowed_flows(stream, window="1 hour", slide="30 minutes"), KEYS).count() > len(got)
 
 
 def test_rolling_state(stream):
