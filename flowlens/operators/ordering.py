@@ -13,19 +13,24 @@ from pyspark.sql import functions as F
 
 from .shared import stage
 
-#: Bytes of input a part should hold.
-PART_BYTES = 128 << 20
+#: Bytes of input files, compressed as they are, that a part should stand for.
+PART_BYTES = 64 << 20
 _PART, _AT = "__ord_part", "__ord_at"
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of all that df is computed from; Catalyst's estimates of joins multiply their sides, so only sources count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.length()))
+
+
 def sorted_parts(df: DataFrame, order_by: list[Column]) -> DataFrame:
     """df, written in the order of order_by: __ord_part rises with the order, __ord_at is the place within it from 0.
 
-    Catalyst's estimate of the size sets the number of parts where it exceeds the session's shuffle partitions; below that,
+    The size of the input sets the number of parts where it asks for more than the session's shuffle partitions; below that,
     adaptive execution merges small ones.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    parts = min(-(-size // PART_BYTES), 1_000_000)
+    parts = min(-(-input_bytes(df) // PART_BYTES), 1_000_000)
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, *order_by) if parts > usual else df.repartitionByRange(*order_by)
     place = F.monotonically_increasing_id()  # the partition above, the row within it in the low 33 bits

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ordering import running_sums, with_row_index
+from .shared import stage
 from .windows import induced, static_windows
 
 _STRATEGIES = ("last", "uniform")
@@ -101,6 +102,8 @@ def causal_events(events: DataFrame, targets: DataFrame, *, fanout: Sequence[int
             found = frontier.join(past, "account").where(F.col("event_us") < F.col("target_us"))
             found = _pick(found, ["target_id", "account"], k, strategy, "event_us", "event_id", seed)
         found = found.withColumn("hop", F.lit(hop))
+        if hop < len(fanout):
+            found = stage(found, "context")  # the next hop and the result both read it
         rows = found.select("target_id", "hop", "account", "event_id", "event_us")
         out = rows if out is None else out.unionByName(rows)
         frontier = found.select("target_id", "target_us", F.col("next").alias("account")).distinct()

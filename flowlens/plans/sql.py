@@ -104,20 +104,21 @@ def scatter_gather(tw: int, keep: int, bins: tuple[int, ...]) -> str:
     return with_(*parts) + "SELECT r.seq, " + ", ".join(f"coalesce(scatter_gather_{k}, 0) AS scatter_gather_{k}" for k in range(len(bins))) + " FROM r LEFT JOIN h USING (seq)"
 
 
-def cycles(name: str, tw: int, keep: int, bins: tuple[int, ...], longest: int) -> str:
+def cycles(name: str, tw: int, keep: int, bins: tuple[int, ...], longest: int = 0) -> str:
+    """longest 0: of any length, as paths repeat no account."""
     timed = name == "temporal_cycle"
-    edge = f"ew AS (SELECT {'' if timed else 'DISTINCT '}b, u, v{', t' if timed else ''} FROM vis WHERE t >= latest - {tw})"
-    parts = batches(512, keep) + [edge, "s1 AS (SELECT b, seq, u, v, [u, v] AS path, v AS last, t AS t0, t AS prev, 0 AS downs FROM r WHERE u <> v)"]
-    done = []
-    for n in range(2, longest + 1):
-        down = "s.downs + CAST(e.t <= s.prev AS INT)" if timed else "0"
-        prev = "e.t" if timed else "s.prev"
-        parts.append(f"x{n} AS (SELECT s.b, s.seq, s.u, s.path, e.v AS nxt, s.t0, {prev} AS prev, {down} AS downs FROM s{n - 1} s JOIN ew e ON e.b = s.b AND e.u = s.last" + (f" WHERE {down} <= 1" if timed else "") + ")")
-        close = "nxt = u AND downs + CAST(t0 <= prev AS INT) = 1" if timed else "nxt = u"
-        done.append(f"SELECT DISTINCT seq, path, {n} AS n FROM x{n} WHERE {close}")
-        parts.append(f"s{n} AS (SELECT DISTINCT b, seq, u, list_append(path, nxt) AS path, nxt AS last, t0, prev, downs FROM x{n} WHERE NOT list_contains(path, nxt))")
-    parts.append(f"h AS (SELECT seq, {bins_of('n', bins, name)} FROM ({' UNION ALL '.join(done)}) GROUP BY seq)")
-    return with_(*parts) + "SELECT r.seq, " + ", ".join(f"coalesce({name}_{k}, 0) AS {name}_{k}" for k in range(len(bins))) + " FROM r LEFT JOIN h USING (seq)"
+    down = "w.downs + CAST(e.t <= w.prev AS INT)" if timed else "0"
+    go = f" AND {down} <= 1 AND ({down} = 0 OR e.t < w.t0)" if timed else ""
+    close = f" AND {down} + CAST(w.t0 <= e.t AS INT) = 1" if timed else ""
+    bound = f" AND len(w.path) < {longest}" if longest else ""
+    parts = batches(512, keep) + [
+        f"ew AS (SELECT {'' if timed else 'DISTINCT '}b, u, v{', t' if timed else ', 0 AS t'} FROM vis WHERE t >= latest - {tw})",
+        f"""w AS (SELECT b, seq, u, [u, v] AS path, v AS last, t AS t0, t AS prev, 0 AS downs FROM r WHERE u <> v
+  UNION SELECT w.b, w.seq, w.u, list_append(w.path, e.v), e.v, w.t0, {'e.t' if timed else 'w.prev'}, {down} FROM w JOIN ew e ON e.b = w.b AND e.u = w.last WHERE NOT list_contains(w.path, e.v){go}{bound})""",
+        f"done AS (SELECT DISTINCT w.seq, w.path, len(w.path) AS n FROM w JOIN ew e ON e.b = w.b AND e.u = w.last AND e.v = w.u WHERE true{go}{close})",
+        f"h AS (SELECT seq, {bins_of('n', bins, name)} FROM done GROUP BY seq)",
+    ]
+    return with_(*parts).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT r.seq, " + ", ".join(f"coalesce({name}_{k}, 0) AS {name}_{k}" for k in range(len(bins))) + " FROM r LEFT JOIN h USING (seq)"
 
 
 # ---- sampling ----
@@ -209,7 +210,7 @@ FROM (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey
     **{f"gfp_{n}": histogram(n, DAY) for n in ("fan_in", "fan_out", "degree_in", "degree_out")},
     "gfp_scatter_gather": scatter_gather(12 * HOUR, DAY, (2, 3)),
     "gfp_length_cycle": cycles("length_cycle", 12 * HOUR, DAY, (2, 3, 4), 4),
-    "gfp_temporal_cycle": cycles("temporal_cycle", 12 * HOUR, DAY, (2, 3, 4), 4),
+    "gfp_temporal_cycle": cycles("temporal_cycle", 12 * HOUR, DAY, (2, 3, 4)),
     "gfp_statistics": statistics(("fan", "degree", "ratio", "mean", "sum", "min", "max", "median", "var", "skew", "kurtosis"), DAY, 2 * DAY),
     "gfp_single_batch": f"SELECT * FROM ({histogram('fan_in', DAY, None, 60 * DAY)}) JOIN ({histogram('degree_out', DAY, None, 60 * DAY)}) USING (seq)",
     "gfp_causal": f"SELECT * FROM ({histogram('fan_in', DAY, 1)}) JOIN ({statistics(('fan', 'degree', 'sum'), DAY, DAY, 1)}) USING (seq)",
