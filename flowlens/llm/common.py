@@ -6,13 +6,16 @@ import atexit
 import gc
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import new_path, remove, shared_dir, stage
+
+__all__ = ["attach", "fold_ascii", "free", "new_path", "remove", "shared_dir", "ship", "stage"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A key is hot once it holds more than one row in HOT_SHARE; so at most HOT_SHARE keys are hot.
@@ -20,42 +23,6 @@ HOT_SHARE = 256
 #: Side tables up to this many bytes may be broadcast; beyond it every operator has a shuffled way.
 BROADCAST_BYTES = 16 << 20
 
-_run = uuid.uuid4().hex
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where none is set (local mode)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="flowlens-"))
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/flowlens-{_run}/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the JVM may be gone at exit
-        pass
-
-
-def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cut lineage: write df as a table in the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs, whose results are written, before the next ones need disk."""
     gc.collect()
@@ -68,23 +35,28 @@ def fold_ascii(text: Column) -> Column:
     return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
 
 
-def attach(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, *, wide: str | None = None) -> DataFrame:
     """Left join to a right side that is unique on keys, where column rows counts the left rows of each key.
 
     Keys with over total / HOT_SHARE rows are at most HOT_SHARE and are broadcast, so their left rows
-    stay where they are; the rest is joined by a shuffle. Keys must not be null. rows is dropped.
+    stay where they are; the rest is joined by a shuffle. Keys must not be null. rows is dropped. wide: a column that may be
+    long; of the hot rows only as many are broadcast, the hottest first, as BROADCAST_BYTES holds, the others
+    being left to the shuffle, where adaptive execution splits them.
     """
     least = max(1, total // HOT_SHARE)
+    if wide:
+        size = F.octet_length(wide) if right.schema[wide].dataType.typeName() in ("string", "binary") else F.size(wide) * 16
+        held = 0
+        for n, size in right.where(F.col(rows) > least).select(rows, size.alias("size")).orderBy(F.desc(rows)).limit(2 * HOT_SHARE).collect():
+            held += size or 0
+            if held > BROADCAST_BYTES:
+                least = n
+                break
     hot = F.broadcast(right.where(F.col(rows) > least).drop(rows))
     cold = right.where(F.col(rows) <= least).drop(rows)
     return left.join(hot, keys, "inner").unionByName(left.join(hot.select(keys), keys, "left_anti").join(cold, keys, "left"))
 
 
-def row_key(ids: list[Column], text: Column) -> Column:
-    """A key of a row's id and text that any scan computes alike; equal rows share it."""
-    return F.struct(*[i.alias(f"k{n}") for n, i in enumerate(ids)], F.xxhash64(F.coalesce(text, F.lit(""))).alias("kh"))
-
-
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, once a context, where they have no installed copy."""
     sc = spark.sparkContext

@@ -47,7 +47,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if not collided.isEmpty():
         apart = texts.withColumn("rid", F.monotonically_increasing_id()).join(collided, "h", "left_semi")
         apart = stage(apart.select("id", "rid", "norm", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-apart")
-        own = attach(apart, stage(_grouped(apart, ["norm"], keep), "exact-apart-groups"), ["norm"], "rows", total).drop("norm")
+        own = attach(apart, stage(_grouped(apart, ["norm"], keep), "exact-apart-groups"), ["norm"], "rows", total, wide="norm").drop("norm")
         out = out.join(collided, "h", "left_anti").unionByName(own)
     return out.select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"),

@@ -232,7 +232,7 @@ def _remove(docs: DataFrame, id_col: str, text_col: str, width: int, text_out: b
     start, stop = F.col("at"), F.col("at") + (width - 1)
     whole = again.where("contexts = 1").select("id", "th", F.struct(start.alias("a"), (stop + F.col("n")).alias("b")).alias("s"))
     found = found.join(kept.select("h", "c", F.col("m").alias("rows")), ["h", "c"])
-    parts = attach(again.where("contexts > 1").select("id", "th", "h", "c", "at"), found, ["h", "c"], "rows", total).where("ranges IS NOT NULL")
+    parts = attach(again.where("contexts > 1").select("id", "th", "h", "c", "at"), found, ["h", "c"], "rows", total, wide="ranges").where("ranges IS NOT NULL")
     parts = parts.select("id", "th", F.explode(F.transform("ranges", lambda r: F.struct((start + r["a"]).alias("a"), (stop + r["b"]).alias("b")))).alias("s"))
     # a set, so that repeated rows count once; bounded by the text's length
     marks = stage(whole.unionByName(parts).groupBy("id", "th").agg(F.collect_set("s").alias("spans")), "repeat-marks")
