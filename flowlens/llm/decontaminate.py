@@ -37,6 +37,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
 
     Null texts have no words; items without words have no windows; null item_ids are left out of n_items.
     An empty benchmark or documents table works. Rows that repeat an id and a text each get their row.
+    Very long texts are arrays of their words; other columns, whatever their names, are not read.
     """
     windows = stage(item_windows(items, item_col=item_col, text_col=item_text_col, size=size), "decon-windows")
     n_bytes, = windows.select(F.coalesce(F.sum(F.expr("aggregate(words, 0L, (a, w) -> a + octet_length(w) + 24)")), F.lit(0)).alias("b")).first()

@@ -215,7 +215,8 @@ def license_scan(docs: DataFrame, *, table: list[tuple[str, str]] | None = None,
     A unit is the whole text, a paragraph (between empty lines) or a line; equal units of a text count once.
     Runs of words that match and that no such unit accounts for follow, each place for itself: licences across paragraphs
     or lines, behind other text, or within a line. Units without two words match nothing. The templates are a
-    table of a few hundred texts, whole licences among them, in the driver's hands. Null texts are empty; rows may repeat and ids be null; other columns are not read.
+    table of a few hundred texts, whole licences among them, in the driver's hands. Null texts are empty; very long ones are read whole, one at a time; rows may repeat and ids be null;
+    an empty table gives no rows; other columns, whatever their names, are not read.
     """
     ship(docs.sparkSession)
     table = templates() + full_texts() if table is None else table

@@ -227,5 +227,6 @@ class PieceModel:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; control pieces are silent, and bytes that are no UTF-8 become U+FFFD."""
-        text = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        parts = (b"".join(map(self.surface.__getitem__, ids[a : a + (1 << 18)].tolist())) for a in range(0, len(ids), 1 << 18))
+        text = b"".join(parts).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text

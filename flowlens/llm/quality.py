@@ -192,8 +192,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, train_on: Column, id_c
 
     labels: (id, y); null ids and labels are left out, and an id with several labels has the smallest.
     train_on: a condition on the column id; only rows that fulfil it are learnt from. Scores depend on
-    the text alone. Null and empty texts are scored by their statistics like any other; null ids are scored
-    but never learnt from. An empty table gives no rows.
+    the text alone. Null and empty texts are scored by their statistics like any other, very long ones by those of the
+    whole text; null ids are scored but never learnt from. Rows may repeat, and each is scored and learnt from. An empty
+    table gives no rows; other columns, whatever their names, are not read.
     """
     x = stage(features(docs, id_col=id_col, text_col=text_col), "quality-x")
     y = labels.toDF("lid", "y").where("lid IS NOT NULL AND y IS NOT NULL").groupBy("lid").agg(F.min("y").cast("double").alias("y"))

@@ -35,7 +35,8 @@ def write_tokens(docs: DataFrame, path: str, *, vocab: str, end_id: int, id_col:
     grow with the number of ranges and no task holds more than one. Rows with equal ids are ordered by
     text, null ids come first; null texts are empty and still get the end id. path/index has (doc_id, part,
     seq, start, n_tokens, ids_crc32), taken from the files in path/data: start is the number of ids of
-    all rows before. Only the totals of parts, one row for each, meet in one task.
+    all rows before. Only the totals of parts, one row for each, meet in one task. Any tokenizer file works: where texts cannot
+    be cut into units, they are encoded whole. An empty table gives empty tables; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -2,11 +2,13 @@
 
 Texts are cut where a pre-token always ends: before a blank between visible characters, around a
 newline between such, and between an ASCII letter and a stop behind it. A unit's ids then don't depend on what is
-around it, so the tokenizer sees a unit once while it is remembered. Where in doubt nothing is cut.
+around it, so the tokenizer sees a unit once while it is remembered. Where in doubt nothing is cut, and of
+tokenizers that prepare or split texts in any other way than the plain byte-level one, whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -59,12 +61,29 @@ def unit_starts(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def cuts_hold(spec: dict) -> bool:
+    """Whether a tokenizer file is such that units' ids add up to those of their text."""
+    split = spec.get("pre_tokenizer") or {}
+    byte_level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    model = spec["model"]
+    plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    whole = spec.get("normalizer") is None and spec.get("truncation") is None and spec.get("padding") is None
+
+    def uncut(token: dict) -> bool:
+        text = token["content"].encode()
+        return not (token["lstrip"] or token["rstrip"] or token["single_word"]) and b" " not in text and b"\n" not in text and len(unit_starts(np.frombuffer(b"..." + text + b"...", np.uint8), np.zeros(1, np.int64))) == 1
+
+    return byte_level and plain and whole and all(map(uncut, spec.get("added_tokens") or []))
+
+
 class UnitEncoder:
     def __init__(self, vocab: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocab)
+        with open(vocab, encoding="utf-8") as f:
+            self.cuts = cuts_hold(json.load(f))
         self.tokenizer.model._resize_cache(0)  # units come once
         self.bare = Tokenizer(self.tokenizer.model)
         #: How many bytes each id stands for.
@@ -140,7 +159,7 @@ class UnitEncoder:
 
     def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one behind another, how many each) of units. Letters behind a blank or not are one pre-token, so the bare model takes many as one sequence."""
-        plain = [u.isalpha() or (u[0] == " " and u[1:].isalpha()) for u in units]
+        plain = [self.cuts and (u.isalpha() or (u[0] == " " and u[1:].isalpha())) for u in units]
         parts: list[np.ndarray] = []
         sizes = np.empty(len(units), np.int64)
         of = np.flatnonzero(plain)
@@ -171,7 +190,9 @@ class UnitEncoder:
             return np.full(len(lengths), end, np.uint32), np.ones(len(lengths), np.int64)
         b = np.frombuffer(data + bytes(SHORT), np.uint8)
         text_starts = np.cumsum(lengths) - lengths
-        starts = unit_starts(b[: len(data)], text_starts[lengths > 0])
+        starts = text_starts[lengths > 0]
+        if self.cuts:
+            starts = unit_starts(b[: len(data)], starts)
         sizes = np.diff(starts, append=len(data))
         words = np.ndarray((len(b) - 7,), "<u8", b, 0, (1,))  # eight bytes from every place on
         short = np.flatnonzero(sizes <= SHORT)

@@ -51,7 +51,8 @@ def test_each_stage_against_brute_force(spark, folder, tmp_path):
             clean = {i for i, t in before.items() if not any(tuple(w[k : k + size]) in wins for w in [words(t)] for k in range(len(w)))}
             assert kept[name] == clean and len(clean) < len(before)
         docs = after
-    assert all(r.restored for r in docs.collect())
+    encoded = docs.collect()
+    assert all(r.restored and len(r.ids) == r.n_pieces for r in encoded) and any(r.ids for r in encoded)
 
 
 def test_run_equals_the_stages(spark, folder):
@@ -81,6 +82,21 @@ def test_repeated_rows_and_nulls(spark, folder):
         assert stage(spark, both, folder).count() <= both.count()
 
 
+def test_clashing_columns_and_long_texts(spark, folder, tmp_path):
+    from pyspark.sql import functions as F
+
+    names = ["kept_id", "again_id", "rows_of_id", "again", "kept", "id", "ids", "text_", "predicted", "score", "contaminated", "component_id", "count"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
+    long = spark.createDataFrame([(5_000, "calm words here. " * 30_000, "en", "s", 1), (5_000, "other text of the same id, calm words here.", "en", "s", 1)], docs.schema)
+    docs = docs.unionByName(long).withColumns({n: F.lit(n) for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, folder).write.parquet(path := f"{tmp_path}/{name.split()[0]}")
+        after = spark.read.parquet(path)
+        assert name == corpus_pipeline.STAGES[-1][0] or after.columns == docs.columns
+        docs = after if name != corpus_pipeline.STAGES[-1][0] else docs
+    assert docs.where("kept_id != 'kept_id'").isEmpty()
+
+
 def test_every_operator_is_registered():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
     assert set(SQL) <= set(QUERIES)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from flowlens.llm.quality import STATISTICS, fit_quality, held_out, isotonic, quality_scores, statistics
+from flowlens.llm.quality import STATISTICS, fit_quality, held_out, isotonic, op3_quality, quality_scores, statistics
 
 
 def corpus(n, seed=1):
@@ -69,3 +69,50 @@ def test_statistics_cover_the_whole_text():
     head = b"calm words here. " * 1000
     a, b = statistics([head, head + b"@@@ ### $$$ " * 1000])
     assert b[STATISTICS.index("symbol")] > 0.2 > a[STATISTICS.index("symbol")]
+
+
+def slow_isotonic(y, n):
+    """The greatest lower mean of upper means, by its definition."""
+    out = []
+    for i in range(len(y)):
+        out.append(max(min(np.average(y[a : b + 1], weights=n[a : b + 1]) for b in range(i, len(y))) for a in range(i + 1)))
+    return np.array(out)
+
+
+def test_query_against_direct_ridge_and_isotonic(spark, tmp_path):
+    """op3_quality against one numpy fit over all rows: the same features, the kernel system solved at once, isotonic values by definition."""
+    import zlib
+
+    rows = corpus(500, seed=8) + [(1_000, None, 1), (1_001, "", 0), (1_002, "calm words. " * 20_000, 1)]
+    spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, predicted string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in op3_quality(spark, str(tmp_path)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    x = statistics([(t or "").encode() for _, t, _ in rows]).astype(np.float32).astype(float)
+    # which rows fit and which calibrate is the operator's own choice, by hash of the id
+    draw = spark.createDataFrame([(i,) for i, _, _ in rows], "id long").select("id", (F.abs(F.xxhash64(F.col("id").cast("string"), F.lit("fit"))) % 3 < 2).alias("fit")).collect()
+    use = {r.id: r.fit for r in draw}
+    fit = np.array([not held[i] and use[i] for i, _, _ in rows])
+    rest = np.array([not held[i] and not use[i] for i, _, _ in rows])
+    y = np.array([v for _, _, v in rows], float)
+    mean, scale = x[fit].mean(0), np.sqrt(np.maximum(x[fit].var(0), 1e-8))
+    rng = np.random.default_rng(11)
+    d = len(STATISTICS)
+    waves, phase = rng.normal(0, 1 / np.sqrt(d), (d, 256)), rng.uniform(0, 2 * np.pi, 256)
+    z = np.clip((x - mean) / scale, -4, 4)
+    z = np.hstack([np.sqrt(2 / 256) * np.cos(z @ waves + phase), 0.1 * z, np.ones((len(z), 1))])
+    lam = 1e-3 * fit.sum()
+    kernel = z[fit] @ z[fit].T  # the dual system, where the operator solves the primal one
+    raw = z @ (z[fit].T @ np.linalg.solve(kernel + lam * np.eye(fit.sum()), y[fit]))
+    step = 2.0 / 2048
+    bin_ = np.clip((raw + 0.5) / step, 0, 2047).astype(int)
+    full = np.unique(bin_[rest])
+    n = np.array([(bin_[rest] == b).sum() for b in full], float)
+    share = np.array([y[rest][bin_[rest] == b].mean() for b in full])
+    knots = -0.5 + (full + 0.5) * step
+    values = np.clip(0.998 * slow_isotonic(share, n) + 0.002 * np.clip(knots, 0, 1), 0, 1)
+    expected = np.interp(raw, knots, values)
+    off = [abs(got[i].score - e) for (i, _, _), e in zip(rows, expected)]
+    assert np.mean(np.array(off) < 1e-4) > 0.99 and max(off) < 0.05  # a score at a bin's edge may fall to its neighbour
+    assert all(got[i].held_out == held[i] and got[i].predicted == int(got[i].score >= 0.7) for i, _, _ in rows)
+    assert np.mean([got[i].predicted == v for i, _, v in rows if held[i]]) > 0.95

@@ -70,3 +70,18 @@ def test_tables(spark):
     assert piece_digest(docs.limit(0), model=default_model()).count() == 0
     unset = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert decode_pieces(unset, model=default_model()).first().text == ""
+
+
+def test_decoding_tables(spark):
+    """Null lists and nulls in them, repeated rows, more rows than are decoded at once, columns with clashing names."""
+    from pyspark.sql import functions as F
+
+    texts = [(k, f"word {k} é") for k in range(700)] + [(None, "x"), (5, "word 5 é"), (900, None), (901, "long " * 60_000)]
+    docs = spark.createDataFrame([(*t, "a", 1) for t in texts], "doc_id long, text string, ids string, id int").coalesce(1)
+    encoded = encode_pieces(docs, model=default_model())
+    back = decode_pieces(encoded.withColumn("text", F.lit("other")), model=default_model()).collect()
+    assert sorted([(r.doc_id, r.text) for r in back], key=repr) == sorted([(i, t or "") for i, t in texts], key=repr)
+    odd = spark.createDataFrame([(1, None), (2, [None]), (3, [])], "doc_id long, ids array<int>")
+    assert [r.text for r in decode_pieces(odd, model=default_model()).collect()] == ["", "", ""]
+    both = piece_digest(docs, model=default_model(), with_ids=True)
+    assert both.where(F.size("ids") != F.col("n_pieces")).isEmpty() and both.where("restored").count() == len(texts)

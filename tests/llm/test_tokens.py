@@ -29,6 +29,15 @@ def test_units_give_the_ids_of_whole_texts():
     assert encoded(encoder, ["", "", ""]) == [[2], [2], [2]]
 
 
+def test_other_tokenizers_see_whole_texts():
+    """One that lower-cases, splits by its own pattern and closes words: nothing is cut, and the ids are the library's."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encoder = Tokenizer.from_file(path), UnitEncoder(path)
+    texts = ["Hello  World, don't stop. Now", "", " é A\u0301 ", "x" * 30 + " y. Z", "<|endoftext|>a.b", "Hello  World, don't stop. Now"]
+    assert not encoder.cuts and UnitEncoder(VOCAB).cuts
+    assert encoded(encoder, texts) == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 def test_small_memory(monkeypatch):
     monkeypatch.setattr(module, "MEMORY", 5)
     encoder, plain = UnitEncoder(VOCAB), Tokenizer.from_file(VOCAB)
