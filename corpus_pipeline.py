@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's input.
 
 Every stage works on all that the one before kept. The first four return the columns of documents; the
-last returns the encoded documents. Null texts, null ids and empty tables pass through each stage as its
+last returns the encoded documents, ids and all. Columns that documents have beside these stay, whatever their
+names; very long texts and null texts, null ids and empty tables pass through each stage as its
 operator defines. Decisions are by id: where several texts share an id, they stay if one of them does;
 of rows that repeat id and text, exact dedup keeps one.
 """
@@ -19,18 +20,28 @@ from flowlens.llm.sentencepieces import default_model, piece_digest
 from flowlens.llm.simhash import simhash_components
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of docs whose id is among decided's; the ids that stay are distinct."""
-    ids = decided.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = _free_name(docs, "kept_id")
+    ids = decided.select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[kept]), "left_semi")
 
 
 def _once(docs: DataFrame) -> DataFrame:
     """docs with one row of each that repeat id and text; texts are only compared where ids repeat."""
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    again, rows = _free_name(docs, "again_id"), _free_name(docs, "rows_of_id")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows)).where(F.col(rows) > 1).select(F.col("doc_id").alias(again))
     if repeated.isEmpty():
         return docs
-    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    same = docs["doc_id"].eqNullSafe(repeated[again])
     return docs.join(repeated, same, "left_anti").unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
@@ -57,8 +68,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, digested, and whether decoding them restores the text."""
-    return piece_digest(docs, model=default_model())
+    """The documents' ids, how many, their crc, and whether decoding them restores the text."""
+    return piece_digest(docs, model=default_model(), with_ids=True)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("benchmark decontamination", benchmark), ("SentencePiece encoding and decoding", encode)]
