@@ -56,3 +56,18 @@ def test_bad_arguments(spark):
     with pytest.raises(ValueError):
         metrics.at_k(s.where("label = 0"), [1], tie=F.col("k"))
     assert metrics.budget_size(0.21, 10) == 3
+
+
+@pytest.mark.parametrize("labels, scores", [([0, 2, 1, 0], [0.1, 0.2, 0.3, 0.4]), ([0, 1, 1, 0], [0.1, float("nan"), 0.3, 0.4]), ([0, 1, None, 0], [0.1, 0.2, 0.3, 0.4]), ([0, 1], [None, 0.5]), ([0, 1], [float("inf"), 0.5]), ([], [])])
+def test_bad_input_is_refused(spark, labels, scores):
+    s = spark.createDataFrame([(k, y, x) for k, (y, x) in enumerate(zip(labels, scores))], "k long, label int, score double")
+    for call in (lambda: metrics.evaluate(s, tie=F.col("k")), lambda: metrics.threshold_metrics(s), lambda: metrics.ranking_metrics(s), lambda: metrics.at_k(s, [1], tie=F.col("k"))):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_bad_thresholds_and_budgets(spark):
+    s = scored(spark, [0, 1], [0.1, 0.2])
+    for bad in ({"threshold": float("nan")}, {"budgets": [3]}, {"budgets": [0]}, {"fractions": [0.0]}):
+        with pytest.raises(ValueError):
+            metrics.evaluate(s, tie=F.col("k"), **bad)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import bucket_of, clamp, logical_time, parse_timestamp, safe_divide, sigmoid, strip, time_us
 from flowlens.operators.ordering import running_sums, with_row_index
-from flowlens.operators.schema import RESERVED, canonicalise, clean, find_column, repair_ids
+from flowlens.operators.schema import RESERVED, canonicalise, clean, concat_relaxed, find_column, repair_ids, usable_rows, with_unique_ids
 
 from .helpers import us
 
@@ -79,3 +79,58 @@ def test_scalars(spark):
     assert us(r.p) == us(datetime(2025, 1, 1, 9, 0, 0, 250_000)) and r.n is None
     with pytest.raises(ValueError):
         logical_time(F.lit(1), timedelta(hours=1), datetime(1970, 1, 1))
+
+
+def test_a_hot_first_key_is_split(spark, monkeypatch):
+    """Nearly all rows tie in the first key: parts hold about as much as the mean all the same."""
+    from flowlens.operators import ordering
+
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(5)).alias("a"), (F.col("id") * 7919 % 40_009).alias("b"))
+    monkeypatch.setattr(ordering, "PART_BYTES", max(1, ordering.input_bytes(df) // 16))
+    sizes = [r["count"] for r in ordering.sorted_parts(df, [F.col("a"), F.col("b")]).groupBy("__ord_part").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    got = {(r.a, r.b): r.row_index for r in with_row_index(df, [F.col("a"), F.col("b")]).collect()}
+    assert [got[k] for k in sorted(got)] == list(range(40_000))
+
+
+def test_previous_rows_and_running_greatest(spark, monkeypatch):
+    import random
+
+    from flowlens.operators import ordering
+
+    r = random.Random(3)
+    rows = [(k, r.choice([None, r.randrange(100)])) for k in range(500)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "k int, v int").repartition(5)
+    monkeypatch.setattr(ordering, "PART_BYTES", max(1, ordering.input_bytes(df) // 7))
+    before = {x.k: x.p for x in ordering.with_previous(df, [F.col("k")], {"p": "v"}).collect()}
+    assert before == {k: rows[k - 1][1] if k else None for k in range(500)}
+    top = {x.k: x.v for x in ordering.running_max(df, [F.col("k")], ["v"]).collect()}
+    assert top == {k: max((v for _, v in rows[: k + 1] if v is not None), default=None) for k in range(500)}
+
+
+def test_unique_ids_are_neither_sorted_nor_joined(spark):
+    df = spark.createDataFrame([(f" {k} ", k) for k in range(50)], "transaction_id string, t int")
+    out = with_unique_ids(df, order_by=["t"])
+    assert RESERVED not in out.columns and {r.transaction_id for r in out.collect()} == {str(k) for k in range(50)}
+    again = with_unique_ids(df.unionByName(df.limit(1)), order_by=["t"])
+    assert {r.transaction_id for r in again.collect()} == {"tx_0", "tx_1", *(str(k) for k in range(1, 50))}
+
+
+@pytest.mark.parametrize("size", [8 << 20, 0])
+def test_few_and_many_bad_ids(spark, monkeypatch, size):
+    from flowlens.operators import schema
+
+    monkeypatch.setattr(schema, "ID_BYTES", size)
+    df = spark.createDataFrame([(g, k) for k, g in enumerate(["a", "b", "a", None, "c", ""])], f"transaction_id string, {RESERVED} long")
+    assert {r[RESERVED]: r.transaction_id for r in repair_ids(df).collect()} == {0: "tx_0", 1: "b", 2: "tx_2", 3: "tx_3", 4: "c", 5: "tx_5"}
+
+
+def test_relaxed_concat(spark):
+    a = spark.createDataFrame([(1, 2, "x", None)], "k int, v int, s string, n int")
+    b = spark.createDataFrame([(10**10, 2.5, 7)], "k long, v double, s int")
+    out = concat_relaxed([a, b])
+    assert dict(out.dtypes) == {"k": "bigint", "v": "double", "s": "string", "n": "int"} and {(r.k, r.v, r.s) for r in out.collect()} == {(1, 2.0, "x"), (10**10, 2.5, "7")}
+    with pytest.raises(ValueError):
+        concat_relaxed([])
+    with pytest.raises(ValueError):
+        usable_rows(a, ["k"], limit=0)

@@ -1,9 +1,11 @@
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
 from flowlens.plans.stream_run import drain
 from flowlens.streaming import ordered_or_late, recent_neighbors_stream, rolling_account_state, windowed_flows
+from flowlens.streaming.transfers import rolling_counts
 
 SCHEMA = "transaction_id string, source string, target string, timestamp timestamp, amount double"
 T0 = datetime(2025, 1, 1)
@@ -55,3 +57,26 @@ def test_bad_arguments(stream):
         rolling_account_state(stream, retention_us=0)
     with pytest.raises(ValueError):
         recent_neighbors_stream(stream, size=0)
+
+
+@pytest.mark.parametrize("most", [-1, 1, 3])
+def test_rolling_counts_equal_a_walk(most):
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = int(rng.integers(1, 40))
+        t, who, x = np.sort(rng.integers(0, 30, n)), rng.integers(0, 5, n).astype(str), rng.integers(1, 9, n).astype(float)
+        kept, slow = [], []
+        for row in zip(t, who, x):
+            kept = [e for e in [*kept, row] if e[0] > row[0] - 7]
+            kept = kept[-most:] if most > 0 else kept
+            slow.append((len({e[1] for e in kept}), len(kept), sum(e[2] for e in kept)))
+        assert list(zip(*(a.tolist() for a in rolling_counts(t, who, x, 7, most)))) == slow
+
+
+def test_drain_keeps_the_last_version_of_a_row(spark, tmp_path):
+    """Two files in two batches: a window that both touch counts once, with what both say."""
+    for k in (0, 1):
+        spark.createDataFrame([(f"t{k}", "A", "B", T0 + timedelta(minutes=k), 1.0)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = drain(windowed_flows(stream, window="1 hour"), KEYS).collect()
+    assert sorted((r.account, r.n_out, r.n_in) for r in got) == [("A", 2, 0), ("B", 0, 2)]
