@@ -15,6 +15,10 @@ from .ordering import with_previous, with_row_index
 from .schema import RESERVED, day_and_clock, find_column, quoted, row_numbered, with_unique_ids
 
 
+#: Columns that hold an order's columns as they were given.
+_BY = "__by_"
+
+
 @dataclass(frozen=True)
 class AccountGraph:
     """nodes: one row per account (node_id and metadata); edges: one row per transfer, parallel ones and loops kept."""
@@ -52,14 +56,18 @@ def _prepare(df: DataFrame, order_by: Sequence[str] | None, timed: bool, names:
     given = quoted(found["transaction_id"]).cast("string") if found["transaction_id"] else F.lit(None).cast("string")
     made = {f: strip_string(quoted(found[f])) for f in ("source", "target")} | {"transaction_id": given} | ({"timestamp": when} if timed else {})
     if order_by and set(order_by) & set(made):  # rows are in the order of the columns as they are given
-        first = {c: f"__by_{k}" for k, c in enumerate(order_by)}
-        df, order_by = df.withColumns({n: quoted(c) for c, n in first.items()}), list(first.values())
+        df = df.withColumns({f"{_BY}{k}": quoted(c) for k, c in enumerate(order_by)})
+        order_by = [f"{_BY}{k}" for k in range(len(order_by))]
     rows = with_unique_ids(df.withColumns(made), order_by=order_by, numbered=numbered)
-    rows = rows.drop(*(c for c in rows.columns if c.startswith("__by_"))) if order_by else rows
     rows = rows.where((F.length("source") > 0) & (F.length("target") > 0))
     return rows.where("timestamp IS NOT NULL") if timed else rows
 
 
+def _plain(rows: DataFrame) -> DataFrame:
+    """rows without what only gave their order."""
+    return rows.drop(RESERVED, *(c for c in rows.columns if c.startswith(_BY)))
+
+
 def _graph_time(df: DataFrame, asked: str | None) -> Column | None:
     """A time from the column asked for or found by its name; text beside a date and a time column is read from these two."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -94,7 +102,7 @@ def account_graph(df: DataFrame, *, timed: bool = False, metadata: DataFrame | N
 
     names: explicit column names (source, target, timestamp, transaction_id); one that is absent is an error, not a hint.
     """
-    edges = _prepare(df, order_by, timed, names).drop(RESERVED)
+    edges = _plain(_prepare(df, order_by, timed, names))
     nodes = account_nodes(edges)
     return AccountGraph(with_metadata(nodes, metadata, account_id=account_id, order_by=metadata_order) if metadata is not None else nodes, edges)
 
@@ -127,7 +135,7 @@ def transaction_graph(df: DataFrame, delta: timedelta, *, order_by: Sequence[str
         raise ValueError("delta must not be negative")
     nodes = _prepare(df, order_by, True, names).withColumn("t_us", time_us(F.col("timestamp")))
     edges = successor_edges(nodes, delta // timedelta(microseconds=1))
-    return TransactionGraph(nodes.drop(RESERVED), edges)
+    return TransactionGraph(_plain(nodes), edges)
 
 
 def graph_sizes(graph: AccountGraph | TransactionGraph | EventStream) -> DataFrame:
@@ -174,8 +182,10 @@ def precomputed_graph(nodes: DataFrame, edges: DataFrame, *, node_id: str, edge_
 
 def event_stream(df: DataFrame, *, order_by: Sequence[str] | None = None, **names: str | None) -> EventStream:
     """Transfers with seq, their place by time, equal times by their order in the input (order_by, where it is given)."""
-    rows = _prepare(df, order_by, True, names, numbered=True).withColumn("t_us", time_us(F.col("timestamp")))
-    return EventStream(account_nodes(rows), with_row_index(rows, [F.col("t_us"), F.col(RESERVED)], "seq").drop(RESERVED))
+    # without a given order, or with ids to repair, rows have a number; else the order's own columns do
+    rows = _prepare(df, order_by, True, names, numbered=not order_by).withColumn("t_us", time_us(F.col("timestamp")))
+    ties = [RESERVED] if RESERVED in rows.columns else [c for c in rows.columns if c.startswith(_BY)] or list(order_by)
+    return EventStream(account_nodes(rows), _plain(with_row_index(rows, [F.col("t_us"), *map(quoted, ties)], "seq")))
 
 
 def out_of_order(events: DataFrame, time_col: str = "t_us", order_col: str = "seq", strict: bool = False) -> DataFrame:
