@@ -200,8 +200,8 @@ class GraphFeatures:
 
     # ---- what a batch sees ----
 
-    def _see(self, asked: DataFrame, vertex: str, side: str, window: int | None = None, other_end: str | None = None) -> DataFrame:
-        """The visible edges at asked (b, vertex, ...): columns of asked, nbr, et, eseq, eb, values; with other_end only those whose nbr is that column.
+    def _see(self, asked: DataFrame, vertex: str, side: str, window: int | None = None) -> DataFrame:
+        """The visible edges at asked (b, vertex, ...): columns of asked, nbr, et, eseq, eb, values.
 
         side "out": edges that leave the vertex, "in": that enter it. window: only edges at latest - window or
         later. Time is cut into buckets of the retention, of which a batch looks into two, so that a
@@ -215,9 +215,10 @@ class GraphFeatures:
         )
         look = asked.join(self.batches, "b")
         k = F.floor(F.col("latest") / keep).cast("long")
-        look = look.withColumn("__k", F.explode(F.array(k - 1, k)))
-        on = (F.col(vertex) == F.col("__v")) & (look["__k"] == edges["__k"])
-        seen = look.join(edges, on & (F.col(other_end) == F.col("nbr")) if other_end else on).drop("__k", "__v")
+        # the join multiplies rows, so its tasks are not to be merged by the size of what goes in
+        tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        look = look.withColumn("__k", F.explode(F.array(k - 1, k))).repartition(tasks, vertex, "__k")
+        seen = look.join(edges, (F.col(vertex) == F.col("__v")) & (look["__k"] == edges["__k"])).drop("__k", "__v")
         seen = seen.where((F.col("eb") <= F.col("b")) & (F.col("et") > F.col("latest") - F.lit(self.config.kept)))
         if self.config.max_edges > 0:
             seen = seen.where(F.col("eat") > F.col("end") - F.lit(self.config.max_edges))
@@ -277,12 +278,11 @@ class GraphFeatures:
         for near, other, side in (("source", "target", "out"), ("target", "source", "in")):
             ask = self.rows.select("b", "seq", F.col(near).alias("near"), F.col(other).alias("other"))
             around = self._see(ask, "other", side, tw).select("b", "seq", "near", F.col("nbr").alias("far")).where("far != near").distinct()
-            # only pairs that rows ask for, and of the middle's edges only those to them, so that no busy account's paths are listed
+            # only pairs that rows ask for meet the middle's edges, which are listed once a batch, so that no busy account's paths are
             step = self._see(self._touched(near), "v", side, tw).select("b", F.col("v").alias("near"), F.col("nbr").alias("mid")).distinct()
-            pairs = around.select("b", "near", "far").distinct().join(step, ["b", "near"])
-            links = self._see(pairs.select("b", "mid", "far").distinct(), "mid", side, tw, "far").select("b", "mid", "far").distinct()
-            sizes = pairs.join(links, ["b", "mid", "far"], "left_semi").groupBy("b", "near", "far").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-            roles.append(around.join(sizes, ["b", "near", "far"]).select("seq", "n"))
+            links = self._see(step.select("b", "mid").distinct(), "mid", side, tw).select("b", "mid", F.col("nbr").alias("far")).distinct()
+            paths = around.join(step, ["b", "near"]).join(links, ["b", "mid", "far"], "left_semi")
+            roles.append(paths.groupBy("seq", "far").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("seq", "n"))
         sizes = roles[0].unionByName(roles[1])
         return sizes.groupBy("seq").agg(*(c.alias(f"scatter_gather_{k}") for k, c in enumerate(bucket_counts(F.col("n"), pattern.bins))))
 
@@ -436,7 +436,7 @@ def causal_features(config: FeatureConfig, rows: DataFrame, *, history: DataFram
     if validate:
         from .graphs import out_of_order
 
-        if not out_of_order(rows, "t", "seq", strict=True).isEmpty():
+        if not out_of_order(rows.select("t", "seq"), "t", "seq", strict=True).isEmpty():
             raise ValueError("causal features need strictly rising times")
         if history is not None:
             last, first = history.agg(F.max("t")).first()[0], rows.agg(F.min("t")).first()[0]
