@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -24,9 +25,15 @@ HOT_SHARE = 256
 BROADCAST_BYTES = 16 << 20
 
 def free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs, whose results are written, before the next ones need disk."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished jobs, whose results are written, before the next ones need disk.
+
+    Python's references to plans go first, in the background, and the JVM's cleaner follows its collector, so both get a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark._jvm.System.gc()
+    time.sleep(1)
 
 
 def fold_ascii(text: Column) -> Column:

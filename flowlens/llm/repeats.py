@@ -207,7 +207,9 @@ def _remove(docs: DataFrame, id_col: str, text_col: str, width: int, text_out: b
     free(spark)
     # every run at an anchor that occurs twice or more; m: how many have its context, contexts: how many its anchor has
     found = attach(anchors, kept.withColumn("rows", F.col("m")), ["h", "c"], "rows", total).where("contexts IS NOT NULL")
-    again = stage(found, "repeat-runs")
+    runs_path, contexts_path = new_path(spark, "repeat-runs"), new_path(spark, "repeat-contexts")
+    found.write.parquet(runs_path)
+    again = spark.read.parquet(runs_path)
     remove(spark, path)
     free(spark)
 
@@ -217,7 +219,8 @@ def _remove(docs: DataFrame, id_col: str, text_col: str, width: int, text_out: b
     cut_ = _contexts(rows.join(per_text, same).select("text", "list"), width)
     # grouped by the bytes themselves; those of anchors with one context have been compared by then
     contexts = cut_.groupBy("h", "c", "bytes").agg(F.first("m").alias("m"), F.first("contexts").alias("contexts"))
-    contexts = stage(contexts.select("h", "c", "m", "contexts", F.when(F.col("contexts") > 1, F.col("bytes")).alias("bytes")), "repeat-contexts")
+    contexts.select("h", "c", "m", "contexts", F.when(F.col("contexts") > 1, F.col("bytes")).alias("bytes")).write.parquet(contexts_path)
+    contexts = spark.read.parquet(contexts_path)
     free(spark)
     several, different = contexts.agg(F.coalesce(F.max("contexts"), F.lit(0)), F.count(F.lit(1))).first()
     if different != kept.count():
@@ -228,6 +231,7 @@ def _remove(docs: DataFrame, id_col: str, text_col: str, width: int, text_out: b
     found = stage(_shards(small.repartition("h").sortWithinPartitions("h", "c"), width), "repeat-sorted")
     if over:
         found = found.unionByName(stage(_blocks(contexts.where(F.col("contexts") > GROUP), width), "repeat-joined"))
+    remove(spark, contexts_path)
     free(spark)
     start, stop = F.col("at"), F.col("at") + (width - 1)
     whole = again.where("contexts = 1").select("id", "th", F.struct(start.alias("a"), (stop + F.col("n")).alias("b")).alias("s"))
@@ -236,6 +240,7 @@ def _remove(docs: DataFrame, id_col: str, text_col: str, width: int, text_out: b
     parts = parts.select("id", "th", F.explode(F.transform("ranges", lambda r: F.struct((start + r["a"]).alias("a"), (stop + r["b"]).alias("b")))).alias("s"))
     # a set, so that repeated rows count once; bounded by the text's length
     marks = stage(whole.unionByName(parts).groupBy("id", "th").agg(F.collect_set("s").alias("spans")), "repeat-marks")
+    remove(spark, runs_path)
     free(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
