@@ -24,16 +24,17 @@ HOT_SHARE = 256
 #: Side tables up to this many bytes may be broadcast; beyond it every operator has a shuffled way.
 BROADCAST_BYTES = 16 << 20
 
-def free(spark: SparkSession) -> None:
+def free(spark: SparkSession, wait: bool = True) -> None:
     """Let Spark drop the shuffle files of finished jobs, whose results are written, before the next ones need disk.
 
-    Python's references to plans go first, in the background, and the JVM's cleaner follows its collector, so both get a moment.
+    Python's references to plans go first, in the background, and the JVM's cleaner follows its collector, so both get a
+    moment, but for small tables, whose files do not matter (wait).
     """
-    for _ in range(2):
+    for _ in range(1 + wait):
         gc.collect()
-        time.sleep(0.5)
+        time.sleep(0.5 * wait)
         spark._jvm.System.gc()
-    time.sleep(1)
+    time.sleep(1.0 * wait)
 
 
 def fold_ascii(text: Column) -> Column:

@@ -18,6 +18,8 @@ from .suffixes import repeated_windows
 
 #: Contexts of one anchor that are sorted in one task; larger groups are dealt out to blocks of about this many.
 GROUP = 2_048
+#: Runs from which on the files of finished steps are waited for to go.
+WAIT = 1_000_000
 #: Bytes of contexts in one suffix array.
 SHARD_BYTES = 1 << 20
 #: Bytes of texts whose anchors are found at once.
@@ -204,14 +206,14 @@ def _remove(docs: DataFrame, id_col: str, text_col: str, width: int, text_out: b
     groups = classes.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.sum("m").alias("times")).where("times > 1")
     kept = stage(classes.join(groups.drop("times"), "h"), "repeat-kept")
     remove(spark, classes_path)
-    free(spark)
+    free(spark, total > WAIT)
     # every run at an anchor that occurs twice or more; m: how many have its context, contexts: how many its anchor has
     found = attach(anchors, kept.withColumn("rows", F.col("m")), ["h", "c"], "rows", total).where("contexts IS NOT NULL")
     runs_path, contexts_path = new_path(spark, "repeat-runs"), new_path(spark, "repeat-contexts")
     found.write.parquet(runs_path)
     again = spark.read.parquet(runs_path)
     remove(spark, path)
-    free(spark)
+    free(spark, total > WAIT)
 
     at = F.struct("h", "c", "m", "contexts", "at", "n")
     per_text = again.groupBy("id", "th").agg(F.collect_set(at).alias("list"))  # bounded by the text's length
@@ -221,18 +223,18 @@ def _remove(docs: DataFrame, id_col: str, text_col: str, width: int, text_out: b
     contexts = cut_.groupBy("h", "c", "bytes").agg(F.first("m").alias("m"), F.first("contexts").alias("contexts"))
     contexts.select("h", "c", "m", "contexts", F.when(F.col("contexts") > 1, F.col("bytes")).alias("bytes")).write.parquet(contexts_path)
     contexts = spark.read.parquet(contexts_path)
-    free(spark)
+    free(spark, total > WAIT)
     several, different = contexts.agg(F.coalesce(F.max("contexts"), F.lit(0)), F.count(F.lit(1))).first()
     if different != kept.count():
         raise _Clash
     over = several > GROUP
-    free(spark)
+    free(spark, total > WAIT)
     small = contexts.where((F.col("contexts") > 1) & (F.col("contexts") <= GROUP)).select("h", "c", "m", "bytes")
     found = stage(_shards(small.repartition("h").sortWithinPartitions("h", "c"), width), "repeat-sorted")
     if over:
         found = found.unionByName(stage(_blocks(contexts.where(F.col("contexts") > GROUP), width), "repeat-joined"))
     remove(spark, contexts_path)
-    free(spark)
+    free(spark, total > WAIT)
     start, stop = F.col("at"), F.col("at") + (width - 1)
     whole = again.where("contexts = 1").select("id", "th", F.struct(start.alias("a"), (stop + F.col("n")).alias("b")).alias("s"))
     found = found.join(kept.select("h", "c", F.col("m").alias("rows")), ["h", "c"])
@@ -241,7 +243,7 @@ def _remove(docs: DataFrame, id_col: str, text_col: str, width: int, text_out: b
     # a set, so that repeated rows count once; bounded by the text's length
     marks = stage(whole.unionByName(parts).groupBy("id", "th").agg(F.collect_set("s").alias("spans")), "repeat-marks")
     remove(spark, runs_path)
-    free(spark)
+    free(spark, total > WAIT)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", PIECE):
