@@ -29,6 +29,12 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(value, F.lit(high)), F.lit(low))
 
 
+def floor_divide(a: Column, b: int) -> Column:
+    """The greatest whole number up to a / b of whole numbers, exactly: quotients of decimals and doubles are rounded before a floor sees them."""
+    b = F.lit(b).cast("long")
+    return F.call_function("div", a - F.pmod(a, b), b)
+
+
 def sigmoid(logit: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import floor_divide
 from .ordering import with_row_index
 
 
@@ -33,8 +34,8 @@ def in_windows(rows: DataFrame, *, bin_us: int, stride_us: int, start_us: int, e
     last = (end_us - start_us - bin_us) // stride_us if drop_last else (end_us - start_us - 1) // stride_us
     if last < 0:
         return rows.withColumns({"window_start": F.lit(0).cast("long"), "window_end": F.lit(0).cast("long"), "is_target": F.lit(False)}).where(F.lit(False))
-    low = F.greatest(F.lit(0), F.floor((t - s - F.lit(bin_us)).cast("decimal(38,0)") / stride_us).cast("long") + 1)
-    high = F.least(F.lit(last), F.floor((t - s + F.lit(context_us)).cast("decimal(38,0)") / stride_us).cast("long"))
+    low = F.greatest(F.lit(0), floor_divide(t - s - F.lit(bin_us), stride_us) + 1)
+    high = F.least(F.lit(last), floor_divide(t - s + F.lit(context_us), stride_us))
     inside = rows.where((t < e) & (t >= s - F.lit(context_us)))
     k = F.explode(F.when(low <= high, F.sequence(low.cast("long"), high.cast("long"))).otherwise(F.array().cast("array<long>")))
     out = inside.withColumn("__k", k).withColumn("window_start", s + F.col("__k") * F.lit(stride_us))

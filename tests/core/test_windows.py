@@ -99,3 +99,15 @@ def test_time_bands(spark):
         got = splits.time_bands(df, bands=3, limit=6, order_by=[F.col("id")], keep_last=last).collect()
         assert sorted((r.band, r.id) for r in got) == [(0, 0), (0, 1), (1, 33), (1, 34), (2, 66), (2, 67)] and most
     assert splits.time_bands(df.limit(0), bands=3, limit=6, order_by=[F.col("id")]).count() == 0
+
+
+def test_times_right_before_a_boundary_stay_there(spark):
+    rows = spark.createDataFrame([(k * DAY + d, k, d) for k in range(8) for d in (0, 1, DAY // 2, DAY - 1)], "t_us long, k long, d long").withColumns({"source": F.lit("a"), "target": F.lit("b")})
+    assert {(r.window_id, r.k) for r in windows.static_windows(rows, window_us=DAY).collect()} == {(k, k) for k in range(8)}
+    for bin_days, stride_days in ((1, 1), (3, 2), (2, 1)):
+        got = windows.account_snapshots(rows, bin_us=bin_days * DAY, stride_us=stride_days * DAY, start_us=0, end_us=8 * DAY)[1]
+        starts = range(0, 8 - bin_days + 1, stride_days)
+        want = sorted((n + 1, k, d) for n, s in enumerate(starts) for k in range(8) for d in (0, 1, DAY // 2, DAY - 1) if s <= k < s + bin_days)
+        assert sorted((r.snapshot_index, r.k, r.d) for r in got.collect()) == want
+    tagged = windows.in_windows(rows, bin_us=DAY, stride_us=DAY, start_us=DAY, end_us=3 * DAY, context_us=1)
+    assert sorted((r.window_start // DAY, r.k, r.d, r.is_target) for r in tagged.where("d >= 1 AND d != 43200000000").collect()) == [(1, 0, DAY - 1, False), (1, 1, 1, True), (1, 1, DAY - 1, True), (2, 1, DAY - 1, False), (2, 2, 1, True), (2, 2, DAY - 1, True)]
