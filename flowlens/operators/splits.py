@@ -87,7 +87,8 @@ def time_bands(rows: DataFrame, *, bands: int, limit: int, order_by: list[Column
     if low is None:
         return rows.withColumn("band", F.lit(0)).where(F.lit(False))
     span = end - 1 - low
-    band = F.floor((F.col(time_col) - low).cast("decimal(38,0)") * bands / max(1, span)).cast("int")
+    # whole division, as a quotient would be rounded before its floor; in decimals, as the product may not fit a long
+    band = F.call_function("div", (F.col(time_col) - low).cast("decimal(38,0)") * bands, F.lit(max(1, span)).cast("decimal(38,0)")).cast("int")
     dealt = rows.withColumn("band", F.least(band, F.lit(bands - 1)) if keep_last else band)
     if not keep_last and span:
         dealt = dealt.where(F.col(time_col) < low + span)

@@ -111,3 +111,12 @@ def test_times_right_before_a_boundary_stay_there(spark):
         assert sorted((r.snapshot_index, r.k, r.d) for r in got.collect()) == want
     tagged = windows.in_windows(rows, bin_us=DAY, stride_us=DAY, start_us=DAY, end_us=3 * DAY, context_us=1)
     assert sorted((r.window_start // DAY, r.k, r.d, r.is_target) for r in tagged.where("d >= 1 AND d != 43200000000").collect()) == [(1, 0, DAY - 1, False), (1, 1, 1, True), (1, 1, DAY - 1, True), (2, 1, DAY - 1, False), (2, 2, 1, True), (2, 2, DAY - 1, True)]
+
+
+def test_times_right_before_a_band_ends_stay_there(spark):
+    span = 60 * DAY
+    rows = spark.createDataFrame([(t,) for k in range(1, 6) for t in (k * span // 6 - 1, k * span // 6)] + [(0,), (span,)], "t_us long")
+    got = splits.time_bands(rows, bands=6, limit=600, order_by=[F.col("t_us")])
+    assert sorted((r.t_us, r.band) for r in got.collect()) == sorted([(0, 0), (span, 5)] + [(k * span // 6 - 1, k - 1) for k in range(1, 6)] + [(k * span // 6, k) for k in range(1, 6)])
+    far = spark.createDataFrame([(-(1 << 61),), ((1 << 61),)], "t_us long")  # six times the span is more than a long holds
+    assert sorted(r.band for r in splits.time_bands(far, bands=6, limit=600, order_by=[F.col("t_us")]).collect()) == [0, 5]
