@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import evaluate
+from ..operators.shared import stage
 
 _BASELINES = {"gbt": GBTClassifier, "forest": RandomForestClassifier, "logistic": LogisticRegression}
 
@@ -44,7 +45,7 @@ class TabularExperiment:
         return out.withColumn("score", vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
 
     def evaluate(self, rows: DataFrame, *, tie: str, **budgets) -> DataFrame | None:
-        scored = self.score(rows)
+        scored = stage(self.score(rows).select(*dict.fromkeys(("label", "score", tie))), "scored")  # each metric reads it again
         if scored.select("label").distinct().limit(2).count() < 2:
             return None
         return evaluate(scored, tie=F.col(tie), **budgets)

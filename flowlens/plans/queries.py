@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import logical_time, parse_timestamp, sigmoid, time_us
 from ..operators import features as gf
 from ..operators import graphs, metrics, ordering, sampling, schema, splits, tensors, windows
+from ..operators.shared import stage
 from . import sql
 from .sql import BINS, DAY, HOUR, US_4H
 
@@ -483,6 +484,7 @@ def tabular_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = gf.FeatureConfig(statistics_window=DAY, statistics=("fan", "degree", "sum"), value_columns=("amount",))
     t = event_transfers(spark, sf_dir)
     x = gf.causal_features(config, feature_rows(spark, sf_dir), strict=False).join(t.select("seq", "label", "t_us"), "seq")
+    x = stage(x, "experiment")  # fitting and each of the metrics read it again
     train_end, _ = splits.fraction_cutoffs(t)
     model = TabularExperiment(baseline("logistic", maxIter=20), ["amount", *config.columns()]).fit(x.where(F.col("t_us") < train_end))
     return model.evaluate(x.where(F.col("t_us") >= train_end), tie="seq", threshold=0.2, budgets=[25])

@@ -69,3 +69,16 @@ def test_entry_works_without_the_llm_folders(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and not any(n.startswith(('op', 'pipeline')) and n[2:3].isdigit() for n in q); print(len(q))"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path), "HOME": "/tmp"}, check=True, timeout=120)
+
+
+def test_evaluation_computes_its_rows_once(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    def counted(x: float) -> float:
+        n.add(1)
+        return x
+
+    df = spark.range(60).select("id", (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("a"))
+    e = TabularExperiment(baseline("logistic", maxIter=3), ["a"]).fit(df)
+    out = e.evaluate(df.withColumn("a", F.udf(counted, "double")("a")), tie="id", threshold=0.3, budgets=[5]).collect()
+    assert len(out) == 1 and n.value == 60
